@@ -13,7 +13,8 @@ from . import render
 from .config import SECOND, BurstConfig, TriggerConfig
 from .operators import report
 from .operators.intel import enrich, intel_json, intel_line
-from .plans.logs import scan, scan_triggers
+from .plans.logs import last_month, scan, scan_triggers
+from .sources.lines import read_lines
 from .sources.tail import follow
 from .streaming.live import detect, live_events, use_rocksdb
 
@@ -89,7 +90,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
             _notes(spark, found.where("kind = 'trigger'").select("source", "us", "reason"), a)
         found.unpersist()
 
-    query = detect(live_events(follow(spark, a.file, "end")), burst, trigger).writeStream.outputMode("append").foreachBatch(show).start()
+    query = detect(live_events(follow(spark, a.file, "end"), last_month(read_lines(spark, a.file))), burst, trigger).writeStream.outputMode("append").foreachBatch(show).start()
     if wait:
         try:
             query.awaitTermination()

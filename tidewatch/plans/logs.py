@@ -28,3 +28,10 @@ def scan(spark: SparkSession, path: str, config: BurstConfig = BurstConfig()) ->
 def scan_triggers(events: DataFrame, alerts: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
     single = events.withColumnRenamed("rep_idx", "_r").select("*", F.explode(F.expr("sequence(0L, rep_count - 1)")).alias("rep_idx")).drop("_r")
     return triggers(single, alerts, config)
+
+
+def last_month(lines: DataFrame) -> tuple[int, int]:
+    """(year_seq, month) of the last matched line, for a stream that goes on from there; (0, 0) without one."""
+    rows = years_by_block(parse_lines(lines), "block_start", ("block_start", "line_id"))
+    last = rows.agg(F.max_by(F.struct("year_seq", "month"), F.struct("block_start", "line_id")).alias("m")).first().m
+    return (int(last.year_seq), int(last.month)) if last else (0, 0)

@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 CHECKED = 4096  # bytes before the position that must still be there
 MOST = 8 << 20  # bytes of one micro-batch
@@ -99,5 +99,3 @@ def follow(spark: SparkSession, path: str, start: str = "begin"):
     spark.dataSource.register(TailSource)
     return spark.readStream.format("tail").option("path", path).option("start", start).load()
 
-
-__all__ = ["InputPartition", "TailReader", "TailSource", "follow"]

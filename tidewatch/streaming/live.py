@@ -20,13 +20,16 @@ FOUND = "source string, kind string, us long, attempts long, first_us long, last
 
 
 class YearCarry(StatefulProcessor):
-    """Per log: the year so far and the last matched month."""
+    """Per log: the year so far and the last matched month. A log that was scanned before goes on from there."""
+
+    def __init__(self, start: tuple[int, int] = (0, 0)):
+        self.start = start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.at = handle.getValueState("at", "year long, month int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        year, month = self.at.get() if self.at.exists() else (0, 0)
+        year, month = self.at.get() if self.at.exists() else self.start
         for pdf in [pd.concat(list(rows)).sort_values("line_id")]:
             years = []
             for m in pdf["month"]:
@@ -93,10 +96,10 @@ class Detector(StatefulProcessor):
         pass
 
 
-def live_events(lines: DataFrame) -> DataFrame:
-    """A stream of (log_path, line_id, value) to expanded events with years carried along each log."""
+def live_events(lines: DataFrame, start: tuple[int, int] = (0, 0)) -> DataFrame:
+    """A stream of (log_path, line_id, value) to expanded events with years carried along each log; start: year and month it goes on from."""
     parsed = parse_lines(lines, ("log_path", "line_id"))
-    dated = with_time(parsed.groupBy("log_path").transformWithStateInPandas(YearCarry(), YEARS, "Append", "None"), BASE_YEAR)
+    dated = with_time(parsed.groupBy("log_path").transformWithStateInPandas(YearCarry(start), YEARS, "Append", "None"), BASE_YEAR)
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     return expand(dated).select("source", us.alias("us"), "user", F.col("line_id").alias("seq"), F.col("rep_idx").cast("long").alias("rep_idx"))
 
