@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, blobs, settle, stored
+from .common import batch, blobs, discard, stored
 
 PROBE = 32  # bytes that an anchor's hash covers
 BLOCK = 24  # window starts in a block
@@ -165,17 +165,17 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                 for a, p, f, l in segments(x, length):
                     ids.append(i)
                     h.append(a)
-                    d.append(hashlib.blake2b(x[f : l + length], digest_size=16).digest())
-                    q.append(p)
+                    d.append(int.from_bytes(hashlib.blake2b(x[f : l + length], digest_size=8).digest(), "little", signed=True))
+                    q.append(p - f)
                     s.append(f)
-                    e.append(l)
-            yield batch(doc_id=pa.array(ids, pa.int64()), anchor=pa.array(np.array(h, np.uint64).view(np.int64)), digest=pa.array(d, pa.binary()), q=pa.array(q, pa.int64()), s=pa.array(s, pa.int64()), e=pa.array(e, pa.int64()))
+                    e.append(l - f)
+            yield batch(doc_id=pa.array(ids, pa.int64()), anchor=pa.array(np.array(h, np.uint64).view(np.int64)), digest=pa.array(d, pa.int64()), q=pa.array(q, pa.int32()), s=pa.array(s, pa.int64()), e=pa.array(e, pa.int32()))
 
-    every = stored(texts.mapInArrow(cut, "doc_id long, anchor long, digest binary, q long, s long, e long"))
-    kinds = every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s", "e", "q")).alias("one"))
-    kinds = stored(kinds)
+    every = stored(texts.mapInArrow(cut, "doc_id long, anchor long, digest long, q int, s long, e int"))
+    # anchor and digest together are 128 bits of a segment; e and q count from s
+    kinds = stored(every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s", "e", "q")).alias("one")))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-    whole = every.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", F.col("s").alias("first"), F.col("e").alias("last"))
+    whole = every.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", F.col("s").alias("first"), (F.col("s") + F.col("e")).alias("last"))
     open_ = kinds.join(mixed, "anchor").select("anchor", (F.col("n") > 1).alias("known"), "one.*")
     per_doc = open_.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "known", "s", "e", "q")).alias("segs"))  # of one text
 
@@ -184,7 +184,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             cols: dict[str, list] = {k: [] for k in ("doc_id", "core", "known", "start", "left", "right")}
             for i, x, segs in zip(b.column(0).to_pylist(), blobs(b.column(1)), b.column(2).to_pylist()):
                 for g in segs:
-                    s, e, q = g["s"], g["e"], g["q"]
+                    s, e, q = g["s"], g["s"] + g["e"], g["s"] + g["q"]
                     for k in range((s - q) // BLOCK, (e - q) // BLOCK + 1):
                         lo, hi = q + k * BLOCK, q + k * BLOCK + BLOCK - 1  # window starts of the block
                         f, l = max(lo, s), min(hi, e)
@@ -229,7 +229,9 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
 
     runs = many.repartition("core").sortWithinPartitions("core").mapInArrow(merge, "core binary, left binary, right binary, runs array<struct<a:int,z:int>>")
     part = rows.where("not known").join(runs, ["core", "left", "right"]).select("doc_id", "start", F.explode("runs").alias("r")).select("doc_id", (F.col("start") + F.col("r.a")).alias("first"), (F.col("start") + F.col("r.z")).alias("last"))
-    return whole.unionByName(whole_blocks).unionByName(part)
+    found = stored(whole.unionByName(whole_blocks).unionByName(part))
+    discard(every, kinds, rows)
+    return found
 
 
 def _windows(length: int):
@@ -259,7 +261,7 @@ def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     doc_id is the key: rows that share an id must not differ in text (such rows share one list of runs). Rows with null
     id are returned whole. No documents: no rows.
     """
-    runs = settle(repeats(docs, length)).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
+    runs = repeats(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
 
     def run(batches):
         for b in batches:
