@@ -11,16 +11,22 @@ from .common import settle
 def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node, root): every node that has an edge, with the smallest node it reaches.
 
-    Each round hooks a node to its smallest neighbour and replaces both ends of every edge by what they are hooked to.
-    The edge from a node to its hook survives as the edge from the hook to the hook's own, so no link is lost; loops and
-    repeats go. At least half of the nodes go each round, so a path of n nodes takes log2(n) rounds. Only the number of
-    edges left comes to the driver. No edges: no rows.
+    Each round hooks every node to its smallest neighbour, follows hooks to their ends by doubling, and replaces both ends
+    of every edge by what they lead to; loops and repeats go. Only local minima are left, at most half of the nodes, so
+    the rounds are log2(n) at most, however long a path is. Only emptiness is asked by the driver. No edges: no rows.
     """
     edges = settle(edges.where("a <> b").distinct())
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")))
+        while True:  # a hook's hook, until all have come to an end
+            up = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            hook = settle(hook.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            if hook.where("moved").isEmpty():
+                break
+            hook = hook.drop("moved")
+        hook = hook.drop("moved")
         rounds.append(hook)
         left = hook.select("a", F.col("p").alias("pa"))
         right = hook.select(F.col("a").alias("b"), F.col("p").alias("pb"))

@@ -158,10 +158,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark window; columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(searchers(benchmark))
+    shared, names = docs.sparkSession.sparkContext.broadcast(searchers(benchmark)), docs.columns
 
     def run(batches):
-        names = docs.columns
         for b in batches:
             clean = [not hits(shared.value, x)[1] for x in blobs(b.column(len(names)))]
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(pa.array(clean, pa.bool_()))

@@ -122,10 +122,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """The documents that score `threshold` or more; columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
+    shared, names = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample)), docs.columns
 
     def run(batches):
-        names = docs.columns
         for b, s in score_batches(shared.value, len(names))(batches):
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(pa.array(s >= threshold))
 
