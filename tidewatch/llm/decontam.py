@@ -15,6 +15,7 @@ WORDS = 10
 BLOCK = 8  # bytes of a block
 SLOTS = 1 << 18  # of a shift table
 LANE = 1 << 12  # bytes that a lane scans; all lanes of a batch move together
+TOGETHER = 1 << 22  # bytes of text scanned as one
 ITEMS = 200_000  # benchmark windows that are broadcast at most; beyond them the windows are taken in parts of that size
 
 
@@ -116,25 +117,45 @@ def searchers(benchmark: DataFrame) -> list[Searcher]:
     return [Searcher(p) for p in parts if p]
 
 
-def hits(searchers_: list[Searcher], data: bytes) -> tuple[int, int, set[str]]:
-    """(words, words inside a benchmark window, items with windows in the text)."""
-    text, n = normal(data)
-    items: set[str] = set()
-    spans = []
+def hits(searchers_: list[Searcher], texts: list[bytes]) -> list[tuple[int, int, set[str]]]:
+    """Per text (words, words inside a benchmark window, items with windows in it). Many texts are scanned as one.
+
+    A line feed, which no pattern holds, keeps them apart.
+    """
+    out: list[tuple[int, int, set[str]]] = []
+    held: list[tuple[bytes, int]] = []
+    size = 0
+    for data in texts:
+        held.append(normal(data))
+        size += len(held[-1][0]) + 1
+        if size > TOGETHER:
+            out += _scan(searchers_, held)
+            held, size = [], 0
+    return out + _scan(searchers_, held)
+
+
+def _scan(searchers_: list[Searcher], held: list[tuple[bytes, int]]) -> list[tuple[int, int, set[str]]]:
+    whole = b"\n".join([t for t, _ in held])
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t, _ in held])])
+    items: dict[int, set[str]] = {}
+    spans: dict[int, list[tuple[int, int]]] = {}
     for s in searchers_:
-        for place, p in s.find(text):
-            items |= s.items[p]
-            spans.append((place, place + len(p) - 1))
-    if not spans:
-        return n, 0, items
-    spans.sort()
+        for place, p in s.find(whole):
+            k = int(np.searchsorted(first, place, "right")) - 1
+            at = place - int(first[k])
+            items.setdefault(k, set()).update(s.items[p])
+            spans.setdefault(k, []).append((at, at + len(p) - 1))
+    return [(n, _covered(t, sorted(spans[k])) if k in spans else 0, items.get(k, set())) for k, (t, n) in enumerate(held)]
+
+
+def _covered(text: bytes, spans: list[tuple[int, int]]) -> int:
     total, end = 0, 0
     for a, z in spans:  # from the space before the first word to the space after the last: one space a word
         a = max(a, end)
         if z > a:
             total += text.count(b" ", a, z)
             end = z
-    return n, total, items
+    return total
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -147,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = [hits(shared.value, x) for x in blobs(b.column(1))]
+            got = hits(shared.value, blobs(b.column(1)))
             yield batch(
                 doc_id=b.column(0), n_words=pa.array([n for n, _, _ in got], pa.int64()), n_hit=pa.array([h for _, h, _ in got], pa.int64()), n_items=pa.array([len(i) for _, _, i in got], pa.int64()),
                 items_sha256=pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, _, i in got], pa.string()), contaminated=pa.array([h > 0 for _, h, _ in got], pa.bool_()),
@@ -162,7 +183,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            clean = [not hits(shared.value, x)[1] for x in blobs(b.column(len(names)))]
+            clean = [not n for _, n, _ in hits(shared.value, blobs(b.column(len(names))))]
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(pa.array(clean, pa.bool_()))
 
     return docs.select("*", F.col("text").cast("binary").alias("_bytes_of_text")).mapInArrow(run, docs.schema)
