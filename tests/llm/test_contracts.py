@@ -80,8 +80,8 @@ def test_bpe(tables, tmp_path):
     for docs, df, *_ in tables:
         e = t.encode_batch([x or "" for _, x in docs], add_special_tokens=False)
         want = {i: (len(x.ids), B.sha(np.array(x.ids, "<u4").tobytes()), B.sha(t.decode(x.ids, skip_special_tokens=False))) for (i, _), x in zip(docs, e)}
-        same(bpe.digests(df, tokenizer(), top=200), ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), want)
-        got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_documents(df, tokenizer(), top=0).collect()}
+        same(bpe.digests(df, tokenizer(), one_of=500), ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), want)
+        got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_documents(df, tokenizer(), one_of=0).collect()}
         assert got == {i: (x.ids, y or "") for (i, y), x in zip(docs, e)}
 
 

@@ -7,6 +7,7 @@ import json
 import mmap
 import tempfile
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import batch
 
-FREQUENT = 50_000  # words in the lexicon, at most
+FREQUENT = 200_000  # a word is frequent if at least one of so many is that word: no more than so many can be
 HELD = 400_000  # words that a task remembers before it starts anew
 
 
@@ -43,7 +44,9 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.ids = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        self.merges = [(self.ids[raw(a)], self.ids[raw(b)], self.ids[raw(a) + raw(b)]) for a, b in merges]
+        self.ranks = {(a, b): i for i, (a, b, _) in enumerate(self.merges)}
         self.text_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
         # contractions; letters, digits or other signs after an optional space; white space
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -51,26 +54,21 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of lowest rank is merged, leftmost first, until none is left."""
-        if word in self.ids:
-            direct = self.ids[word]
-            if len(word) == 1:
-                return [direct]
-        parts = [word[i : i + 1] for i in range(len(word))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:]))))
-            if best[0] == 1 << 60:
+        parts = [self.byte_ids[b] for b in word]
+        rank, none = self.ranks.get, len(self.merges)
+        ranks = list(map(rank, zip(parts, parts[1:]), repeat(none)))
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            pair, out, i = (parts[best[1]], parts[best[1] + 1]), [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ids[p] for p in parts]
+            i, both = ranks.index(best), self.merges[best][2]
+            parts[i] = both
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], both), none)
+            if i < len(ranks):
+                ranks[i] = rank((both, parts[i + 1]), none)
+        return parts
 
     def pieces(self, text: str):
         """(is special, string): the text cut at special tokens."""
@@ -177,24 +175,30 @@ class Transducer:
         return self.out[self.out_at[number] : self.out_at[number + 1]].tolist()
 
 
-def frequent_words(texts: DataFrame, vocabulary: Vocabulary, top: int) -> list[bytes]:
-    """The `top` most frequent words over all texts; ties by the word."""
+def frequent_words(texts: DataFrame, vocabulary: Vocabulary, one_of: int) -> list[bytes]:
+    """The words that make up a share of 1 / one_of or more of all words of all texts: `one_of` words at most."""
 
     def run(batches):
         seen: Counter = Counter()
+
+        def partial():
+            return batch(w=pa.array(seen.keys(), pa.string()), n=pa.array(seen.values(), pa.int64()))
+
         for b in batches:
             for x in b.column(0).to_pylist():
                 for special, s in vocabulary.pieces(x or ""):
                     if not special:
                         seen.update(vocabulary.pattern.findall(s))
             if len(seen) > HELD:
-                yield batch(w=pa.array(seen.keys(), pa.string()), n=pa.array(seen.values(), pa.int64()))
+                yield partial()
                 seen = Counter()
         if seen:
-            yield batch(w=pa.array(seen.keys(), pa.string()), n=pa.array(seen.values(), pa.int64()))
+            yield partial()
 
     counts = texts.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w.encode() for r in counts.orderBy(F.desc("n"), "w").limit(top).collect()]  # `top` short words
+    total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
+    often = counts.crossJoin(total).where(F.col("n") * one_of >= F.col("total")) if one_of else counts.limit(0)
+    return [r.w.encode() for r in often.select("w").collect()]
 
 
 def encoder(vocabulary: Vocabulary, lexicon: Transducer):
@@ -207,7 +211,7 @@ def encoder(vocabulary: Vocabulary, lexicon: Transducer):
         ids = mapped.get(raw)
         if ids is None:
             ids = vocabulary.merge(raw)
-        out = np.array(ids, "<u4").tobytes()
+        out = b"".join([i.to_bytes(4, "little") for i in ids])
         if len(held) >= HELD:
             held.clear()
         held[word] = out
@@ -228,17 +232,17 @@ def encoder(vocabulary: Vocabulary, lexicon: Transducer):
     return encode
 
 
-def prepare(docs: DataFrame, tokenizer: str, top: int = FREQUENT, text_col: str = "text"):
-    """(vocabulary, lexicon) for these documents, as one broadcast of a few MB: it holds `top` words at most."""
+def prepare(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT, text_col: str = "text"):
+    """(vocabulary, lexicon) for these documents, as one broadcast of a few MB: it holds `one_of` words at most."""
     vocabulary = Vocabulary(tokenizer)
-    words = frequent_words(docs.select(F.col(text_col).cast("string").alias("t")), vocabulary, top)
+    words = frequent_words(docs.select(F.col(text_col).cast("string").alias("t")), vocabulary, one_of)
     lexicon = Transducer.compile({w: vocabulary.merge(w) for w in words})
     return docs.sparkSession.sparkContext.broadcast((vocabulary, lexicon))
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, top: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row. Null counts as empty: no ids, empty text."""
-    shared = prepare(docs, tokenizer, top, text_col)
+    shared = prepare(docs, tokenizer, one_of, text_col)
 
     def run(batches):
         vocabulary, lexicon = shared.value
@@ -255,9 +259,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, top: int = FREQUENT, id_co
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, tokenizer: str, top: int = FREQUENT) -> DataFrame:
+def digests(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode_documents() with ids and text digested where they are made."""
-    shared = prepare(docs, tokenizer, top)
+    shared = prepare(docs, tokenizer, one_of)
 
     def run(batches):
         vocabulary, lexicon = shared.value
