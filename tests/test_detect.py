@@ -5,7 +5,7 @@ import pytest
 from tidewatch.config import SECOND, BurstConfig, TriggerConfig
 from tidewatch.operators.bursts import bursts, events_of, first_crossings
 from tidewatch.operators.intel import enrich, intel_json, intel_line
-from tidewatch.operators.triggers import triggers
+from tidewatch.operators.triggers import trailing_repeats, triggers
 
 SCHEMA = "source string, us long, user string, seq long, rep_idx long, rep_count long"
 ALERT = "source string, attempts long, first_us long, last_us long, users array<string>, severity string"
@@ -62,7 +62,19 @@ def test_bursts_at_random_and_across_slices(spark, seed):
     for threshold, window in ((2, 5), (3, 20), (1, 0)):
         want = model(rows, threshold, window)
         assert found(bursts(events(spark, rows), cfg(threshold, window), slice_us=50 * SECOND)) == want
-        assert found(first_crossings(events(spark, rows), cfg(threshold, window))) == model(rows, threshold, window, live=True)
+        for size in (None, 50 * SECOND):
+            assert found(first_crossings(events(spark, rows), cfg(threshold, window), slice_us=size)) == model(rows, threshold, window, live=True)
+
+
+def test_trailing_repeats_across_slices(spark):
+    rng = random.Random(5)
+    rows = [(f"s{rng.randint(0, 2)}", rng.randint(-300, 900), "") for _ in range(300)]
+    for k, window in ((2, 4), (3, 10), (5, 30)):
+        times = {s: sorted(t for x, t, _ in rows if x == s) for s, _, _ in rows}
+        want = sorted((s, t) for s, ts in times.items() for i, t in enumerate(ts) if i >= k - 1 and ts[i - k + 1] > t - window)
+        for size in (None, 40 * SECOND, SECOND):
+            got = trailing_repeats(events(spark, rows), TriggerConfig(k, window * SECOND, 0), slice_us=size)
+            assert sorted((r.source, r.us // SECOND) for r in got.collect()) == want
 
 
 def test_negative_window_and_weights(spark):

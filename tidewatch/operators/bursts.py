@@ -57,15 +57,25 @@ def bursts(events: DataFrame, config: BurstConfig = BurstConfig(), slice_us: int
     return whole.where(F.col("attempts") >= config.threshold).withColumn("severity", severity(F.col("attempts"), config.threshold))
 
 
-def first_crossings(events: DataFrame, config: BurstConfig = BurstConfig()) -> DataFrame:
+def first_crossings(events: DataFrame, config: BurstConfig = BurstConfig(), slice_us: int | None = None) -> DataFrame:
     """What a live detector would have raised: one alert per chain, as of the event that first makes it long enough.
 
-    Events are taken in order of time; repeated events must be expanded. The same columns as bursts().
+    Events are taken in order of time; repeated events must be expanded. The same columns as bursts(). As there, chains are
+    found within slices of time; of each slice's part of a chain only as many events as an alert needs are carried on.
     """
     need = max(config.threshold, 1)
-    chained = _chained(events, ["source"], config.window, "us", "us")
-    w = W.partitionBy("source", "chain").orderBy("us", "seq", "rep_idx")
-    upto = chained.withColumn("k", F.row_number().over(w)).where(F.col("k") <= need)
-    named = F.when(F.col("user") != "", F.struct("us", "seq", "rep_idx", "user"))
-    out = upto.groupBy("source", "chain").agg(F.count("*").alias("attempts"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.array_distinct(F.transform(F.sort_array(F.collect_list(named)), lambda x: x["user"])).alias("users"))
-    return out.where(F.col("attempts") >= need).drop("chain").withColumn("severity", severity(F.col("attempts"), config.threshold))
+    size = slice_us or max(DAY, 16 * abs(config.window))
+    local = _chained(events.withColumn("slice", F.floor(F.col("us") / size)), ["source", "slice"], config.window, "us", "us")
+    event = F.struct("us", "seq", "rep_idx", "user")
+    nth = F.row_number().over(W.partitionBy("source", "slice", "chain").orderBy("us", "seq", "rep_idx"))
+    parts = local.withColumn("k", nth).groupBy("source", "slice", "chain").agg(
+        F.count("*").alias("n"), F.min("us").alias("first"), F.max("us").alias("last"), F.min(event).alias("head"), F.collect_list(F.when(F.col("k") <= need, event)).alias("heads"),
+    )
+    joined = _chained(parts.select("source", "n", "first", "last", "head.seq", "head.rep_idx", "heads"), ["source"], config.window, "first", "last")
+    before = F.sum("n").over(W.partitionBy("source", "chain").orderBy("first", "seq", "rep_idx").rowsBetween(W.unboundedPreceding, -1))
+    early = joined.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < need)
+    taken = early.groupBy("source", "chain").agg(F.slice(F.sort_array(F.flatten(F.collect_list("heads"))), 1, need).alias("es")).where(F.size("es") >= need)
+    return taken.select(
+        "source", F.size("es").cast("long").alias("attempts"), F.col("es")[0]["us"].alias("first_us"), F.element_at("es", -1)["us"].alias("last_us"),
+        F.array_distinct(F.transform(F.filter("es", lambda e: e["user"] != ""), lambda e: e["user"])).alias("users"),
+    ).withColumn("severity", severity(F.col("attempts"), config.threshold))

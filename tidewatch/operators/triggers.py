@@ -7,16 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import TriggerConfig
+from ..functions.scalars import DAY
 
 REPEAT, CRITICAL = "repeat_offender", "critical_severity"
 
 
-def trailing_repeats(events: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
-    """Events that are at least the `repeats`-th within the half-open trailing window (t - window, t]; peers count one by one."""
+def trailing_repeats(events: DataFrame, config: TriggerConfig = TriggerConfig(), slice_us: int | None = None) -> DataFrame:
+    """Events that are at least the `repeats`-th within the half-open trailing window (t - window, t]; peers count one by one.
+
+    A source is dealt by slices of time; each slice also sees, as context, the last window of the slice before it.
+    """
     if config.repeats <= 1:
         return events
-    w = W.partitionBy("source").orderBy("us", "seq", "rep_idx")
-    return events.withColumn("_back", F.lag("us", config.repeats - 1).over(w)).where(F.col("_back") > F.col("us") - config.window).drop("_back")
+    if config.window <= 0:  # nothing lies within (t - window, t]
+        return events.limit(0)
+    size = max(slice_us or max(DAY, 16 * config.window), config.window)
+    own = F.floor(F.col("us") / size)
+    near_end = F.col("us") > (own + 1) * size - config.window
+    dealt = events.withColumn("_at", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = W.partitionBy("source", "_at").orderBy("us", "seq", "rep_idx")
+    return dealt.withColumn("_back", F.lag("us", config.repeats - 1).over(w)).where((F.col("_back") > F.col("us") - config.window) & (F.col("_at") == own)).drop("_back", "_at")
 
 
 def candidates(events: DataFrame, alerts: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
