@@ -186,6 +186,7 @@ def test_licenses(tables):
     [
         ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-notice"), ("Licensed under CC BY 4.0", "cc-by,cc-by-notice"), ("Released under the MIT License.", "mit,mit-notice"),
         ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-notice"), ("Licensed under the Apache License, Version 2.0 (the \"License\");", "apache,apache-notice"),
+        ("This book is released under the MIT License", "mit,mit-notice"), ("a\n this  is released under the MIT License, MIT  license", "mit,mit-notice"),
         ("about the GNU General Public License", "gpl"), ("Licensed under the Apache Licence", ""), (None, ""),
         ("Neither: Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are not met", ""),
     ],
@@ -195,6 +196,14 @@ def test_license_templates(text, labels):
     assert ",".join(sorted(got["base"] | {s[2] for s in got["spans"]})) == labels
 
 
+def test_replaceable_regions_hold_so_many_words():
+    a = licenses.Automaton("x {2} y [[z]] end")
+    for text, end in (("x y end", 3), ("x a y end", 4), ("x a b y end", 5), ("x a b y z end", 6), ("x a b c y end", None), ("x y z z end", None)):
+        assert a.accepts(text.encode().split(), 0) == end
+    spans = licenses.Scanner().scan(b"this one and that is released under the MIT License")["spans"]
+    assert spans == [(5, 10, "mit-notice")]
+
+
 def test_secrets(tables):
     for docs, df, *_ in tables:
         same(secrets.find_secrets(df), ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), {i: B.secrets(t) for i, t in docs})

@@ -59,7 +59,8 @@ class Automaton:
             elif part[0] == "{":
                 first = len(self.step) - 1
                 for _ in range(int(part[1:-1])):
-                    self.any[-1] = self._add()
+                    here = len(self.step) - 1
+                    self.any[here] = self._add()
                 for s in range(first, len(self.step) - 1):
                     self.free[s].add(len(self.step) - 1)
             else:
@@ -118,9 +119,10 @@ class Scanner:
         places, labels = [], set()
         for phrase, label in PHRASES.items():
             p = b" " + phrase.encode() + b" "
-            at = text.find(p)
+            word, seen, at = 0, 0, text.find(p)
             while at >= 0:
-                places.append(text.count(b" ", 0, at))
+                word, seen = word + text.count(b" ", seen, at), at
+                places.append(word)
                 labels.add(label)
                 at = text.find(p, at + 1)
         spans = []
