@@ -40,12 +40,15 @@ def cool_down(hits: DataFrame, cooldown: int) -> DataFrame:
     """(source, us, reason) of the hits that fire: each at least `cooldown` after the last that fired, in greedy order.
 
     Hits of one source closer than the cooldown to one that has fired are lost anyway, so first one hit is kept for each
-    source and stretch of equal instants; the fold then runs over a sorted array.
+    source and stretch of equal instants. A hit that comes a cooldown or more after the one before it always fires, so
+    runs of closer hits are folded on their own, each as a sorted array.
     """
     order = F.struct("us", "kind", "seq", "rep_idx", "reason")
     if cooldown > 0:  # of one instant only the first can fire
         hits = hits.groupBy("source", "us").agg(F.min(order).alias("h")).select("source", "h.*")
-    rows = hits.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("us", "kind", "seq", "rep_idx", "reason"))).alias("hs"))
+    late = F.col("us") - F.lag("us").over(W.partitionBy("source").orderBy("us", "kind", "seq", "rep_idx")) >= cooldown
+    runs = hits.withColumn("late", F.coalesce(late, F.lit(True))).withColumn("run", F.sum(F.col("late").cast("long")).over(W.partitionBy("source").orderBy("us", "kind", "seq", "rep_idx")))
+    rows = runs.groupBy("source", "run").agg(F.sort_array(F.collect_list(F.struct("us", "kind", "seq", "rep_idx", "reason"))).alias("hs"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<us:bigint,reason:string>>").alias("out"))
     fold = F.aggregate(
         "hs", start,
