@@ -73,6 +73,30 @@ def test_links_are_verified_by_whole_texts(spark):
     assert of[500, 0] == of[501, 0] == 500 and {v for (i, _), v in of.items() if i is None} == {0}
 
 
+def test_links_are_verified_before_they_are_thinned(spark, monkeypatch):
+    """Fingerprints that are all close, of which few pairs pass: each passing pair counts, whatever else fails."""
+    monkeypatch.setattr(simhash, "HOT", 32)  # large buckets are split
+    rng = random.Random(5)
+    base = rng.getrandbits(62)
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(62), rng.randint(0, 6))) for _ in range(60)})
+    true = [rng.sample(fps, 2) for _ in range(25)]
+    passes = spark.createDataFrame([(min(p), max(p)) for p in true], "x long, y long")
+    df = spark.createDataFrame([(x, 0, 1 << 40) for x in fps], "fp long, lo long, hi long")
+    asked = []
+
+    def check(edges):
+        asked.append(edges.count())
+        return edges.join(passes, (edges.a == passes.x) & (edges.b == passes.y), "left_semi")
+
+    got = {r.node: r.root for r in simhash.verified(df, 12, check).collect()}
+    root = {x: x for x in fps}
+    for _ in fps:
+        for a, b in true:
+            if (a ^ b).bit_count() <= 12:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {x: got.get(x, x) for x in fps} == root and len(asked) > 1
+
+
 @pytest.mark.parametrize("tau", [3, 9, 12])
 def test_hamming_links_of_dense_groups(spark, tau, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 64)  # large buckets are split

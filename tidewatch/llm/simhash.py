@@ -10,6 +10,7 @@ verified by the texts themselves.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +24,7 @@ from .components import components
 
 PROBE_COST = 400.0  # of one shuffled and sorted probe row, in comparisons of two fingerprints (some 6 ns each)
 HOT = 4096  # fingerprints of one bucket in one task; larger buckets are split
+TRIES = 2  # pairs per member that a bucket hands out to be verified in its first round; four times as many in each further one
 
 
 def fingerprint(data: bytes, words: int) -> tuple[int, int]:
@@ -126,15 +128,11 @@ def plan(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
     return [(own, t) for own, t in best[1] if t >= 0]
 
 
-def links(fps: DataFrame, tau: int) -> DataFrame:
-    """Distinct (fp, lo, hi) -> edges (a, b) of fingerprints within tau bits: of each bucket a spanning forest.
-
-    lo and hi bound the shingle counts of a fingerprint's texts and are only carried to sift pairs: a pair is dropped when
-    no two of their texts can have sizes within a factor of 0.8 (pass lo = 0, hi = 1 << 40 to keep all).
-    """
+def dealt(fps: DataFrame, tau: int) -> DataFrame | None:
+    """Distinct (fp, lo, hi) -> (part, key, salt, probe, fp, lo, hi), the rows of a bucket in one task and in a row. No pairs: None."""
     n, both = bit_counts(fps)
     if n < 2:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+        return None
     chosen = plan(n, both, tau)
     flips = []
     for own, t in chosen:
@@ -168,31 +166,122 @@ def links(fps: DataFrame, tau: int) -> DataFrame:
         probes = rows.where("probe <> 0 and splits is not null").select("part", "key", F.lit(1).cast("byte").alias("probe"), "fp", "lo", "hi", F.explode(every).alias("salt"))
         rows = rows.where("splits is null").select("part", "key", "probe", "fp", "lo", "hi", F.lit(0).alias("salt")).unionByName(members).unionByName(probes)
 
+    return gathered(rows.select("part", "key", "salt", "probe", "fp", "lo", "hi"))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part", "key", "salt").sortWithinPartitions("part", "key", "salt")
+
+
+def by_bucket(batches):
+    """(columns, bounds of the buckets in them) of rows in bucket order; no bucket is cut."""
+    carry: list[np.ndarray] | None = None
+    for b in batches:
+        cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+        if carry is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(carry, cols)]
+        new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+        if not len(new):
+            carry = cols
+            continue
+        done = new[-1]
+        carry = [x[done:] for x in cols]
+        yield [x[:done] for x in cols], np.concatenate([[0], new])
+    if carry is not None and len(carry[0]):
+        yield carry, np.array([0, len(carry[0])])
+
+
+def links(fps: DataFrame, tau: int) -> DataFrame:
+    """Distinct (fp, lo, hi) -> edges (a, b) of fingerprints within tau bits: of each bucket a spanning forest.
+
+    lo and hi bound the shingle counts of a fingerprint's texts and are only carried to sift pairs: a pair is dropped when
+    no two of their texts can have sizes within a factor of 0.8 (pass lo = 0, hi = 1 << 40 to keep all).
+    """
+    rows = dealt(fps, tau)
+    if rows is None:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+
     def meet(batches):
-        carry: list[np.ndarray] | None = None
-        out_a: list[np.ndarray] = []
-        out_b: list[np.ndarray] = []
-        for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            if carry is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(carry, cols)]
-            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            if not len(new):
-                carry = cols
-                continue
-            done = new[-1]
-            carry = [x[done:] for x in cols]
-            _buckets([x[:done] for x in cols], np.concatenate([[0], new]), tau, out_a, out_b)
-            if out_a:
-                yield batch(a=pa.array(np.concatenate(out_a)), b=pa.array(np.concatenate(out_b)))
-                out_a, out_b = [], []
-        if carry is not None and len(carry[0]):
-            _buckets(carry, np.array([0, len(carry[0])]), tau, out_a, out_b)
+        for cols, bounds in by_bucket(batches):
+            out_a: list[np.ndarray] = []
+            out_b: list[np.ndarray] = []
+            _buckets(cols, bounds, tau, out_a, out_b)
             if out_a:
                 yield batch(a=pa.array(np.concatenate(out_a)), b=pa.array(np.concatenate(out_b)))
 
-    dealt = rows.select("part", "key", "salt", "probe", "fp", "lo", "hi").repartition("part", "key", "salt").sortWithinPartitions("part", "key", "salt")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return rows.mapInArrow(meet, "a long, b long").distinct()
+
+
+def verified(fps: DataFrame, tau: int, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Distinct (fp, lo, hi) -> (node, root): components over the pairs within tau bits that check, edges to edges, lets pass.
+
+    Pairs are verified before any are left out. A bucket hands out all of its pairs, or, of too many, those whose hash is
+    smallest; then it stays open. What passed is joined into components, and an open bucket goes on above the hash it came
+    to, among pairs still in different components, until none is left. So each pair within tau bits passes, fails, or has
+    its ends in one component already. lo and hi sift as in links().
+    """
+    rows = dealt(fps, tau)
+    if rows is None:
+        return fps.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+    rows = rows.select("*", F.lit(0).cast("long").alias("above"), F.col("fp").alias("root"))
+    parts, turn = None, 0
+    while True:
+
+        def meet(batches, tries=TRIES * 4**turn):
+            for cols, bounds in by_bucket(batches):
+                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    if e - s > 1:
+                        yield from _pairs([x[s:e] for x in cols], tau, tries)
+
+        out = settle(rows.mapInArrow(meet, "part int, key long, salt int, probe byte, fp long, lo long, hi long, above long"))
+        good = check(out.where("probe = -1").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct())
+        parts = components(good if parts is None else good.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        left = out.where("probe >= 0")
+        if left.isEmpty():
+            return parts
+        left = left.join(parts, left.fp == parts.node, "left")
+        rows = gathered(left.select("part", "key", "salt", "probe", "fp", "lo", "hi", "above", F.coalesce("root", "fp").alias("root")))
+        turn += 1
+
+
+def _pairs(cols: list[np.ndarray], tau: int, tries: int):
+    """One bucket's pairs to verify (probe -1, fp and lo are the ends) and, if there are more, its rows that still have pairs."""
+    part, key, salt, probe, fp, lo, hi, above, root = cols
+    member, asks = np.flatnonzero(probe != 1), np.flatnonzero(probe != 0)
+    if not len(member) or not len(asks):
+        return
+    u = fp.astype(np.int64).view(np.uint64)
+    many, cut, more = max(64, tries * len(member)), np.iinfo(np.int64).max, False
+    x, y, h = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    has = np.zeros(len(fp), bool)
+    step = max(1, min(4096, (1 << 20) // len(member)))
+    for at in range(0, len(asks), step):
+        q = asks[at : at + step]
+        i, j = np.nonzero(np.bitwise_count(u[q][:, None] ^ u[member][None, :]) <= tau)
+        p, r = q[i], member[j]
+        fit = (fp[p] < fp[r]) & (root[p] != root[r]) & (hi[p] * 5 >= lo[r] * 4) & (hi[r] * 5 >= lo[p] * 4)
+        p, r = p[fit], r[fit]
+        g = u[p] * np.uint64(0x9E3779B97F4A7C15) ^ (u[r] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+        g = (g ^ g >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        g = ((g ^ g >> np.uint64(32)) >> np.uint64(1)).astype(np.int64)
+        fit = g >= above[0]
+        p, r, g = p[fit], r[fit], g[fit]
+        has[p] = has[r] = True
+        fit = g <= cut
+        x, y, h = np.concatenate([x, p[fit]]), np.concatenate([y, r[fit]]), np.concatenate([h, g[fit]])
+        if len(h) > 2 * many:
+            cut, more = np.partition(h, many)[many], True
+            x, y, h = x[h <= cut], y[h <= cut], h[h <= cut]
+    if len(h):
+        n = np.zeros(len(h), np.int32)
+        yield _rows(n, n, n, n - 1, fp[x], fp[y], n, n)
+    if more and cut < np.iinfo(np.int64).max:
+        yield _rows(part[has], key[has], salt[has], probe[has], fp[has], lo[has], hi[has], np.full(has.sum(), cut + 1))
+
+
+def _rows(part, key, salt, probe, fp, lo, hi, above) -> pa.RecordBatch:
+    whole = {"part": (part, np.int32), "key": (key, np.int64), "salt": (salt, np.int32), "probe": (probe, np.int8), "fp": (fp, np.int64), "lo": (lo, np.int64), "hi": (hi, np.int64), "above": (above, np.int64)}
+    return batch(**{k: pa.array(v.astype(t)) for k, (v, t) in whole.items()})
 
 
 def _buckets(cols: list[np.ndarray], bounds: np.ndarray, tau: int, out_a: list, out_b: list) -> None:
@@ -286,7 +375,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, tau: int = 12, sized: bool
     """(doc_id, fp, n_shingles, component_id): documents linked, over any number of steps, by fingerprints within tau bits.
 
     component_id is the smallest doc_id of the component. least: a link also needs that exact Jaccard similarity of the
-    shingle sets, which is counted for the links of the forests (None: fingerprints alone decide). Two fingerprints of
+    shingle sets, which is counted before any link is left out (None: fingerprints alone decide). Two fingerprints of
     similarity 0.8 differ in 10 of 64 bits on average, so 12 finds four in five of such pairs, and nearly all from 0.85 on.
     sized: two texts whose shingle counts differ by more than a factor of 0.8 are not linked. Equal fingerprints always share a component. Null texts are empty; texts
     without words share fingerprint 0. Rows with null doc_id stay, and count for links, but never name a component unless
@@ -295,10 +384,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, tau: int = 12, sized: bool
     own = settle(fingerprints(docs, words, id_col, text_col))
     lo, hi = (F.min("n_shingles"), F.max("n_shingles")) if sized else (F.lit(0).cast("long"), F.lit(1 << 40))
     distinct = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first"), lo.alias("lo"), hi.alias("hi")))
-    found = links(distinct, tau)
-    if least is not None:
-        found = similar(settle(found), distinct, docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("t")), words, least)
-    parts = components(found)
+    if least is None:
+        parts = components(links(distinct, tau))
+    else:
+        texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("t"))
+        parts = verified(distinct, tau, lambda edges: similar(edges, distinct, texts, words, least))
     named = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     label = named.join(smallest, "root").select("fp", "component_id")
