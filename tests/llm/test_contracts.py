@@ -73,6 +73,17 @@ def test_links_are_verified_by_whole_texts(spark):
     assert of[500, 0] == of[501, 0] == 500 and {v for (i, _), v in of.items() if i is None} == {0}
 
 
+def test_a_text_and_the_same_text_twice_are_copies(spark):
+    """Repeats add shingles but hardly any different ones: the sift by size must not part them."""
+    rng = random.Random(2)
+    docs = []
+    for g in range(8):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+        docs += [(10 * g, text), (10 * g + 1, text + " " + text)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in docs}
+
+
 def test_links_are_verified_before_they_are_thinned(spark, monkeypatch):
     """Fingerprints that are all close, of which few pairs pass: each passing pair counts, whatever else fails."""
     monkeypatch.setattr(simhash, "HOT", 32)  # large buckets are split
@@ -97,6 +108,16 @@ def test_links_are_verified_before_they_are_thinned(spark, monkeypatch):
     assert {x: got.get(x, x) for x in fps} == root and len(asked) > 1
 
 
+def test_components_in_one_task(spark):
+    from tidewatch.llm.components import components
+
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(200), 100 + rng.randrange(200)) for _ in range(90)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in components(df, 1000).collect()}
+    assert got == {r.node: r.root for r in components(df).collect()} and got[60] == 0
+
+
 @pytest.mark.parametrize("tau", [3, 9, 12])
 def test_hamming_links_of_dense_groups(spark, tau, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 64)  # large buckets are split

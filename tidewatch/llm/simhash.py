@@ -25,35 +25,39 @@ from .components import components
 PROBE_COST = 400.0  # of one shuffled and sorted probe row, in comparisons of two fingerprints (some 6 ns each)
 HOT = 4096  # fingerprints of one bucket in one task; larger buckets are split
 TRIES = 2  # pairs per member that a bucket hands out to be verified in its first round; four times as many in each further one
+FEW = 1 << 20  # verified links that are joined into components in one task
 
 
-def fingerprint(data: bytes, words: int) -> tuple[int, int]:
-    """(signed 64-bit fingerprint, shingles) of one UTF-8 text; no words: (0, 0)."""
+def fingerprint(data: bytes, words: int, different: bool = False) -> tuple[int, int, int]:
+    """(signed 64-bit fingerprint, shingles, different shingles or 0 if not asked) of one UTF-8 text; no words: (0, 0, 0)."""
     tokens = data.translate(LOWER).split()
     if not tokens:
-        return 0, 0
+        return 0, 0, 0
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(tokens) - words + 1)
     last = ends[min(words, len(tokens)) - 1 :]
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest, counts, seen = xxhash.xxh64_digest, np.zeros(64, np.int64), []
     for at in range(0, n, 65536):
         cut = slice(at, min(n, at + 65536))
         h = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[cut].tolist(), last[cut].tolist())])
         counts += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True), n
+        if different:
+            seen.append(np.frombuffer(h, np.int64))
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True), n, len(np.unique(np.concatenate(seen))) if different else 0
 
 
-def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long, n_shingles): null texts count as empty, and get fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", different: bool = False) -> DataFrame:
+    """(doc_id, fp long, n_shingles, n_different: 0 if not asked): null texts count as empty, and get fingerprint 0."""
 
     def run(batches):
         for b in batches:
-            got = [fingerprint(x, words) for x in blobs(b.column(1))]
-            yield batch(doc_id=b.column(0), fp=pa.array([x for x, _ in got], pa.int64()), n_shingles=pa.array([n for _, n in got], pa.int64()))
+            got = [fingerprint(x, words, different) for x in blobs(b.column(1))]
+            fp, n, d = (pa.array(x, pa.int64()) for x in (zip(*got) if got else ((), (), ())))
+            yield batch(doc_id=b.column(0), fp=fp, n_shingles=n, n_different=d)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long, n_shingles long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long, n_shingles long, n_different long")
 
 
 def bits_of(fp: np.ndarray) -> np.ndarray:
@@ -194,7 +198,7 @@ def by_bucket(batches):
 def links(fps: DataFrame, tau: int) -> DataFrame:
     """Distinct (fp, lo, hi) -> edges (a, b) of fingerprints within tau bits: of each bucket a spanning forest.
 
-    lo and hi bound the shingle counts of a fingerprint's texts and are only carried to sift pairs: a pair is dropped when
+    lo and hi bound the numbers of different shingles of a fingerprint's texts and are only carried to sift pairs: a pair is dropped when
     no two of their texts can have sizes within a factor of 0.8 (pass lo = 0, hi = 1 << 40 to keep all).
     """
     rows = dealt(fps, tau)
@@ -235,7 +239,7 @@ def verified(fps: DataFrame, tau: int, check: Callable[[DataFrame], DataFrame])
 
         out = settle(rows.mapInArrow(meet, "part int, key long, salt int, probe byte, fp long, lo long, hi long, above long"))
         good = check(out.where("probe = -1").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct())
-        parts = components(good if parts is None else good.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        parts = components(good if parts is None else good.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))), FEW)
         left = out.where("probe >= 0")
         if left.isEmpty():
             return parts
@@ -377,12 +381,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, tau: int = 12, sized: bool
     component_id is the smallest doc_id of the component. least: a link also needs that exact Jaccard similarity of the
     shingle sets, which is counted before any link is left out (None: fingerprints alone decide). Two fingerprints of
     similarity 0.8 differ in 10 of 64 bits on average, so 12 finds four in five of such pairs, and nearly all from 0.85 on.
-    sized: two texts whose shingle counts differ by more than a factor of 0.8 are not linked. Equal fingerprints always share a component. Null texts are empty; texts
+    sized: two texts whose numbers of different shingles differ by more than a factor of 0.8 are not linked, which leaves
+    out none of Jaccard similarity 0.8. Equal fingerprints always share a component. Null texts are empty; texts
     without words share fingerprint 0. Rows with null doc_id stay, and count for links, but never name a component unless
     all its ids are null. An empty table gives no rows. Rows with equal doc_id are kept apart.
     """
-    own = settle(fingerprints(docs, words, id_col, text_col))
-    lo, hi = (F.min("n_shingles"), F.max("n_shingles")) if sized else (F.lit(0).cast("long"), F.lit(1 << 40))
+    own = settle(fingerprints(docs, words, id_col, text_col, sized))
+    lo, hi = (F.min("n_different"), F.max("n_different")) if sized else (F.lit(0).cast("long"), F.lit(1 << 40))
     distinct = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first"), lo.alias("lo"), hi.alias("hi")))
     if least is None:
         parts = components(links(distinct, tau))
