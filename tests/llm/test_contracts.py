@@ -47,7 +47,7 @@ def same(df, columns, want):
 
 def test_simhash(tables):
     for docs, df, *_ in tables:
-        out = simhash.near_duplicates(df, words=3, tau=3, sized=False, least=None)
+        out = simhash.near_duplicates(df, words=3, tau=3, least=None)
         got = {r.doc_id: (f"{r.fp % 2**64:016x}", r.component_id) for r in out.collect()}
         assert got == B.components(docs)
 
@@ -92,14 +92,14 @@ def test_links_are_verified_before_they_are_thinned(spark, monkeypatch):
     fps = sorted({base ^ sum(1 << b for b in rng.sample(range(62), rng.randint(0, 6))) for _ in range(60)})
     true = [rng.sample(fps, 2) for _ in range(25)]
     passes = spark.createDataFrame([(min(p), max(p)) for p in true], "x long, y long")
-    df = spark.createDataFrame([(x, 0, 1 << 40) for x in fps], "fp long, lo long, hi long")
+    df = spark.createDataFrame([(x, x, 100 + abs(x) % 20) for x in fps], "node long, fp long, size long")
     asked = []
 
     def check(edges):
         asked.append(edges.count())
         return edges.join(passes, (edges.a == passes.x) & (edges.b == passes.y), "left_semi")
 
-    got = {r.node: r.root for r in simhash.verified(df, 12, check).collect()}
+    got = {r.node: r.root for r in simhash.verified(df, 12, 0.8, check).collect()}
     root = {x: x for x in fps}
     for _ in fps:
         for a, b in true:
@@ -118,14 +118,14 @@ def test_components_in_one_task(spark):
     assert got == {r.node: r.root for r in components(df).collect()} and got[60] == 0
 
 
-@pytest.mark.parametrize("tau", [3, 9, 12])
+@pytest.mark.parametrize("tau", [3, 9, 15])
 def test_hamming_links_of_dense_groups(spark, tau, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 64)  # large buckets are split
     rng = random.Random(tau)
     base = [rng.getrandbits(64) for _ in range(5)]
     fps = {rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for _ in range(500)} | {rng.getrandbits(64) for _ in range(200)}
     signed = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
-    df = spark.createDataFrame([(x, 0, 1 << 40) for x in signed], "fp long, lo long, hi long")
+    df = spark.createDataFrame([(x, x, 0) for x in signed], "node long, fp long, size long")
     from tidewatch.llm.components import components
 
     got = {r.node: r.root for r in components(simhash.links(df, tau)).collect()}

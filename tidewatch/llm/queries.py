@@ -21,7 +21,7 @@ def tokenizer() -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, tau=3, sized=False, least=None)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, tau=3, least=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
