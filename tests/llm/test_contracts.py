@@ -275,6 +275,34 @@ def test_quality(spark, tables):
     assert quality_knn.quality_scores(df, spark.read.parquet(f"{d}/labels.parquet")).count() == len(docs)
 
 
+def test_quality_scores_are_votes_of_all_labelled_neighbours(spark):
+    """Scores against a plain version: the singular value decomposition in full, then every labelled row votes by its similarity."""
+    rng = random.Random(6)
+    words = [[f"good{i}" for i in range(30)], [f"BAD#{i}" for i in range(30)]]
+    docs = [(i, " ".join(rng.choices(words[i % 2] + words[0], k=rng.randint(3, 80)))) for i in range(160)] + [(200, None), (201, ""), (None, "good1"), (7, "good1 good2"), (7, "other")]
+    marks = [(i, 1 - i % 2) for i in range(120)]
+    df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {}
+    for r in quality_knn.quality_scores(df, labels).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    vec = {}
+    for i, t in docs:
+        vec.setdefault(i, []).append(quality_knn.terms((t or "").encode()))
+    known = [i for i, _ in marks if zlib.crc32(str(i).encode()) % 5]
+    rows = np.array([min(vec[i], key=lambda v: v.astype(np.float16).tobytes()).astype(np.float16) for i in known], np.float64)
+    idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 0.1
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    x = unit(rows * idf)
+    axes = np.linalg.svd(x, full_matrices=False)[2][: quality_knn.TOPICS].T
+    base = unit(x @ axes)
+    for i, vs in vec.items():
+        want = []
+        for v in vs:
+            w = np.exp(quality_knn.SHARPNESS * (base @ unit(unit(v * idf) @ axes) - 1))
+            want.append(float((w * [1 - k % 2 for k in known]).sum() / w.sum()))
+        assert sorted(got[i]) == pytest.approx(sorted(want), abs=0.02)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7x?q#f", "https://example.com/en/8", "http://notexample.com/en/7", "http://x.net/de/", "http://www.example.net/de/8/9", "ftp://b.org/es/#", "http://c.org", "http://d.org?x=/es/", "a://b://c/en/", "http://com/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

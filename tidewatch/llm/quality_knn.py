@@ -11,6 +11,7 @@ from .common import batch, blobs
 
 TERMS = 2048  # hashed terms
 TOPICS = 96  # latent dimensions
+ROUNDS = 12  # of subspace iteration
 SAMPLE = 6000  # labelled rows to learn from, at most: the bound of the fit
 SHARPNESS = 24.0  # a neighbour at similarity s votes with weight exp(SHARPNESS * (s - 1))
 # upper case letters A, lower case and non-ASCII letters a, digits 0, white space one kind, other signs as they are
@@ -44,12 +45,17 @@ class Space:
     """Inverse document frequencies, a projection onto latent topics, and the labelled vectors in it."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray):
+        """rows are scaled in place: they are the largest thing that the driver holds."""
         self.labels = labels.astype(np.float32)
-        self.idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + 0.1
-        x = self.unit(rows * self.idf)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.project = vectors[:, np.argsort(values)[::-1][:TOPICS]].astype(np.float32)
-        self.vectors = self.unit(x @ self.project)
+        self.idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))).astype(np.float32) + 0.1
+        rows *= self.idf
+        rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+        basis = np.linalg.qr(np.random.default_rng(3).standard_normal((rows.shape[1], TOPICS + 32)))[0].astype(np.float32)
+        for _ in range(ROUNDS):  # the leading right singular vectors, by subspace iteration
+            basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+        _, _, turn = np.linalg.svd(rows @ basis, full_matrices=False)
+        self.project = np.ascontiguousarray((basis @ turn.T)[:, :TOPICS], np.float32)
+        self.vectors = self.unit(rows @ self.project)
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
@@ -67,7 +73,8 @@ class Space:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space | None:
     """The space of at most `sample` labelled rows, taken by a hash of their id; None without labelled rows.
 
-    Only rows whose crc32(doc_id) mod 5 is not 0 are read. Of repeated labels of one id the lower quality counts.
+    Only rows whose crc32(doc_id) mod 5 is not 0 are read. Of repeated labels of one id the lower quality counts, of
+    different texts of one id the one whose terms are smallest.
     """
     marked = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     marked = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -79,12 +86,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space | N
             v = [terms(x).astype(np.float16).tobytes() for x in blobs(b.column(1))]
             yield batch(id=b.column(0), v=pa.array(v, pa.binary()), q=b.column(2).cast(pa.int32()))
 
-    got = picked.mapInArrow(run, "id long, v binary, q int").dropDuplicates(["id"]).toArrow()
+    got = picked.mapInArrow(run, "id long, v binary, q int").groupBy("id").agg(F.min(F.struct("v", "q")).alias("one")).select("id", "one.*").toArrow()
     if not len(got):
         return None
     order = np.argsort(got["id"].to_numpy(), kind="stable")
-    rows = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    return Space(rows[order], got["q"].to_numpy()[order])
+    rows = np.empty((len(got), TERMS), np.float32)
+    for i, k in enumerate(order.tolist()):
+        rows[i] = np.frombuffer(got["v"][k].as_buffer(), np.float16)
+    return Space(rows, got["q"].to_numpy()[order])
 
 
 def score_batches(space: Space | None, column: int):
