@@ -151,6 +151,20 @@ def test_bpe(tables, tmp_path):
         assert got == {i: (x.ids, y or "") for (i, y), x in zip(docs, e)}
 
 
+def test_bpe_of_very_long_words_and_texts(spark):
+    t, rng = Tokenizer.from_file(tokenizer()), random.Random(9)
+    v = bpe.Vocabulary(tokenizer())
+    for n in (97, 500, 3000):
+        word = "".join(rng.choices("abcdeé", k=n)).encode()
+        long, bpe.LONG = bpe.LONG, 10**9
+        assert v.merge_long(word) == v.merge(word)
+        bpe.LONG = long
+    docs = [(1, "".join(rng.choices("etaoin", k=1 << 20))), (2, " ".join(rng.choices(["alpha", "beta1", "don't", "漢字"], k=900_000))), (2, "other text of the same id")]
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(spark.createDataFrame(docs, "doc_id long, text string"), tokenizer()).collect()}
+    e = t.encode_batch([x for _, x in docs], add_special_tokens=False)
+    assert got == {(i, len(x.ids), B.sha(np.array(x.ids, "<u4").tobytes()), B.sha(t.decode(x.ids, skip_special_tokens=False))) for (i, _), x in zip(docs, e)}
+
+
 def test_transducer():
     words = {b"card": [1], b"cart": [2, 3], b"art": [4], b"a": [5], b"dart": [7, 8, 9]}
     t = bpe.Transducer.compile(words).mapped()

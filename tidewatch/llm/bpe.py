@@ -7,6 +7,7 @@ import json
 import mmap
 import tempfile
 from collections import Counter
+from heapq import heapify, heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import batch
 
 FREQUENT = 200_000  # a word is frequent if at least one of so many is that word: no more than so many can be
+LONG = 96  # bytes of a word from which its pairs are kept in a heap
 HELD = 400_000  # words that a task remembers before it starts anew
 
 
@@ -54,6 +56,8 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of lowest rank is merged, leftmost first, until none is left."""
+        if len(word) > LONG:
+            return self.merge_long(word)
         parts = [self.byte_ids[b] for b in word]
         rank, none = self.ranks.get, len(self.merges)
         ranks = list(map(rank, zip(parts, parts[1:]), repeat(none)))
@@ -70,6 +74,28 @@ class Vocabulary:
                 ranks[i] = rank((both, parts[i + 1]), none)
         return parts
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """As merge(), for words of any length: pairs wait in a heap, parts know what stands before and after them."""
+        n, rank, none = len(word), self.ranks.get, len(self.merges)
+        parts = [self.byte_ids[b] for b in word]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i, pair in enumerate(zip(parts, parts[1:])) if (r := rank(pair, none)) < none]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j >= n or rank((parts[i], parts[j]), none) != r:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], k = self.merges[r][2], -1, after[j]
+            after[i] = k
+            if before[i] >= 0 and (x := rank((parts[before[i]], parts[i]), none)) < none:
+                heappush(heap, (x, before[i]))
+            if k < n:
+                before[k] = i
+                if (x := rank((parts[i], parts[k]), none)) < none:
+                    heappush(heap, (x, i))
+        return [p for p in parts if p >= 0]
+
     def pieces(self, text: str):
         """(is special, string): the text cut at special tokens."""
         if not self.cut or not any(s in text for s in self.special):
@@ -241,7 +267,10 @@ def prepare(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT, text_col: s
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, decoded string) of every row. Null counts as empty: no ids, empty text."""
+    """(doc_id, ids array<int>, decoded string) of every row; other columns are left out.
+
+    Null counts as empty: no ids, empty text. Rows that repeat, in id or text, each get a row; no documents, no rows.
+    """
     shared = prepare(docs, tokenizer, one_of, text_col)
 
     def run(batches):
@@ -260,7 +289,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT, id
 
 
 def digests(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode_documents() with ids and text digested where they are made."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode_documents() with ids and text digested where they are made.
+
+    Nulls, repeated rows and empty tables as there.
+    """
     shared = prepare(docs, tokenizer, one_of)
 
     def run(batches):

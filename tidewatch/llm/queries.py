@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +10,7 @@ from .common import table
 
 
 def tokenizer() -> str:
-    """The place of the tokenizer file: TOKENIZER_FILE, or the one of the installed package."""
-    if path := os.environ.get("TOKENIZER_FILE"):
-        return path
+    """The place of the tokenizer file that the contract names, in the installed package."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
