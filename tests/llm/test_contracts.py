@@ -9,6 +9,7 @@ import brute as B
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm import bpe, bwt_repeats, decontam, licenses, quality_knn, queries, rules_forest, secrets, simhash, url_filter, wrapper
@@ -86,26 +87,38 @@ def test_a_text_and_the_same_text_twice_are_copies(spark):
 
 def test_links_are_verified_before_they_are_thinned(spark, monkeypatch):
     """Fingerprints that are all close, of which few pairs pass: each passing pair counts, whatever else fails."""
+    from tidewatch.llm.components import components
+
     monkeypatch.setattr(simhash, "HOT", 32)  # large buckets are split
     rng = random.Random(5)
     base = rng.getrandbits(62)
-    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(62), rng.randint(0, 6))) for _ in range(60)})
-    true = [rng.sample(fps, 2) for _ in range(25)]
-    passes = spark.createDataFrame([(min(p), max(p)) for p in true], "x long, y long")
-    df = spark.createDataFrame([(x, x, 100 + abs(x) % 20) for x in fps], "node long, fp long, size long")
-    asked = []
-
-    def check(edges):
-        asked.append(edges.count())
-        return edges.join(passes, (edges.a == passes.x) & (edges.b == passes.y), "left_semi")
-
-    got = {r.node: r.root for r in simhash.verified(df, 12, 0.8, check).collect()}
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(62), rng.randint(0, 6))) for _ in range(90)})
+    own = {x: set(range(1000 * k, 1000 * k + 100)) for k, x in enumerate(fps)}
+    for a, b in (rng.sample(fps, 2) for _ in range(30)):
+        own[b] = set(sorted(own[a])[: rng.randint(85, 99)]) | set(range(10**6 + b % 1000, 10**6 + b % 1000 + rng.randint(0, 12)))
+    df = spark.createDataFrame([(x, x, len(own[x])) for x in fps], "node long, fp long, size long")
+    held = spark.createDataFrame([(x, np.array(sorted(s), np.int64).tobytes()) for x, s in own.items()], "node long, shingles binary")
+    got = {r.node: r.root for r in components(simhash.verified(df, 12, 0.8, lambda asked: asked.join(held, "node"))).collect()}
     root = {x: x for x in fps}
     for _ in fps:
-        for a, b in true:
-            if (a ^ b).bit_count() <= 12:
-                root[a] = root[b] = min(root[a], root[b])
-    assert {x: got.get(x, x) for x in fps} == root and len(asked) > 1
+        for i, a in enumerate(fps):
+            for b in fps[:i]:
+                if (a ^ b).bit_count() <= 12 and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {x: got.get(x, x) for x in fps} == root and len(set(root.values())) < len(fps) - 10
+
+
+def test_rows_decide_not_ids(spark):
+    """Rows that share an id go one by one; of equal rows one stays; columns of any name and nulls do no harm."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**5)}" for _ in range(60)) for x in "abc")
+    docs = [(1, a, "x"), (2, a, "x"), (2, b, None), (3, c, "x"), (3, c, "x"), (None, a, "x"), (None, None, "x"), (None, "", "x"), (None, "", "y"), (9, c + " more", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, node string").withColumn("h", F.lit(1)).withColumn("fp", F.lit("z")).withColumn("size", F.lit(None).cast("int"))
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(((r.doc_id or 0), (r.text or "")[:1]) for r in got) == [(0, ""), (1, "a"), (2, "b"), (3, "c")]
+    assert simhash.keep_first(df.limit(0)).count() == 0
 
 
 def test_components_in_one_task(spark):

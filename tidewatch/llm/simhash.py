@@ -24,21 +24,23 @@ from .components import components
 
 PROBE_COST = 400.0  # of one shuffled and sorted probe row, in comparisons of two fingerprints (some 6 ns each)
 HOT = 4096  # members of one bucket in one task; larger buckets are split
+HELD = 1 << 22  # shingles of a bucket's members in one task; larger buckets are split as well
 ASKS = 64  # times HOT: what asks one bucket in one task; more is split
-TRIES = 2  # pairs per member that a bucket hands out to be verified in its first round; four times as many in each further one
 FEW = 1 << 20  # verified links that are joined into components in one task
 SMALL = 200_000  # rows of three numbers that are broadcast at most, after they have been counted
-BOTH, MEMBER, ASK, PAIR = 0, 1, 2, -1  # what a row of a bucket is; members come before what only asks
+BOTH, MEMBER, ASK = 0, 1, 2  # what a row of a bucket is; members come before what only asks
+ROW = {"bucket": np.int64, "salt": np.int32, "probe": np.int8, "node": np.int64, "fp": np.int64, "size": np.int64}
+KIND = "bucket long, salt int, probe byte, node long, fp long, size long"
 
 
-def fingerprint(data: bytes, words: int, sets: bool = False) -> tuple[int, int, int, int]:
-    """(signed 64-bit fingerprint, shingles, digest of the set of shingles, its size: 0 and 0 if not asked) of one UTF-8 text.
+def fingerprint(data: bytes, words: int, sets: bool = False) -> tuple[int, int, int, int, bytes]:
+    """(signed 64-bit fingerprint, shingles, digest, size and sorted hashes of the set of shingles) of one UTF-8 text.
 
-    A text without words has (0, 0, 0, 0).
+    The last three are 0, 0 and empty if not asked for, as is everything of a text without words.
     """
     tokens = data.translate(LOWER).split()
     if not tokens:
-        return 0, 0, 0, 0
+        return 0, 0, 0, 0, b""
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -53,9 +55,10 @@ def fingerprint(data: bytes, words: int, sets: bool = False) -> tuple[int, int,
             seen.append(np.frombuffer(h, np.int64))
     fp = int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
     if not sets:
-        return fp, n, 0, 0
+        return fp, n, 0, 0, b""
     kinds = np.unique(np.concatenate(seen))
-    return fp, n, int.from_bytes(xxhash.xxh64_digest(kinds.tobytes()), "big", signed=True), len(kinds)
+    own = kinds.tobytes()
+    return fp, n, int.from_bytes(xxhash.xxh64_digest(own), "big", signed=True), len(kinds), own
 
 
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
@@ -66,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            got = [fingerprint(x, words, sets) for x in blobs(b.column(2))]
+            got = [fingerprint(x, words, sets)[:4] for x in blobs(b.column(2))]
             fp, n, node, size = (pa.array(x, pa.int64()) for x in (zip(*got) if got else ((), (), (), ())))
             yield batch(doc_id=b.column(0), h=b.column(1), fp=fp, n_shingles=n, node=node if sets else fp, size=size)
 
@@ -161,13 +164,18 @@ def plan(n: int, both: np.ndarray, tau: int, share: float = 1.0, asks: int = 1)
     return [(own, t) for own, t in best[1] if t >= 0]
 
 
-def dealt(nodes: DataFrame, tau: int, least: float) -> DataFrame | None:
-    """Distinct (node, fp, size) -> (bucket, salt, probe, node, fp, size), the rows of a bucket in one task and in a row. No pairs: None.
+def _width(least: float) -> float:
+    return 1e-9 - math.log(least) if least else 0.0
+
+
+def dealt(nodes: DataFrame, tau: int, least: float) -> tuple[DataFrame, list[tuple[int, int]]] | None:
+    """Distinct (node, fp, size) -> rows (bucket, salt, probe, node, fp, size), those of a bucket in one task and in a row, and
+    the (mask, threshold) of each partition. No pairs: None.
 
     A bucket is a partition, its bits, and a class of sizes. Nodes are members of their own class and ask that and the next
     smaller one (least 0: all sizes are one class).
     """
-    width = 1e-9 - math.log(least) if least else 0.0
+    width = _width(least)
     n, both, share = statistics(nodes, width)
     if n < 2:
         return None
@@ -205,15 +213,17 @@ def dealt(nodes: DataFrame, tau: int, least: float) -> DataFrame | None:
 
     def count(batches):
         for _, fp, size in pieces(batches):
-            for bucket, probe, _ in rows_of(fp, size):
-                b, k = np.unique(bucket, return_counts=True)
+            for bucket, probe, r in rows_of(fp, size):
+                b, at, k = np.unique(bucket, return_inverse=True, return_counts=True)
                 none = np.zeros(len(b), np.int64)
-                yield batch(bucket=pa.array(b), members=pa.array(none if probe == ASK else k), asks=pa.array(none if probe == MEMBER else k))
+                weight = np.bincount(at, size[r], len(b)).astype(np.int64)
+                yield batch(bucket=pa.array(b), members=pa.array(none if probe == ASK else k), asks=pa.array(none if probe == MEMBER else k), shingles=pa.array(none if probe == ASK else weight))
 
     nodes = nodes.select("node", "fp", "size")
     rows = nodes.mapInArrow(deal, "bucket long, probe byte, node long, fp long, size long")
-    sizes = nodes.mapInArrow(count, "bucket long, members long, asks long").groupBy("bucket").agg(F.sum("members").alias("m"), F.sum("asks").alias("a"))
-    sizes = settle(sizes.where((F.col("m") > HOT) | (F.col("m") > 0) & (F.col("a") > ASKS * HOT)).select("bucket", F.ceil(F.col("m") / HOT).cast("int").alias("across"), F.ceil(F.col("a") / (ASKS * HOT)).cast("int").alias("down")))
+    sizes = nodes.mapInArrow(count, "bucket long, members long, asks long, shingles long").groupBy("bucket").agg(F.sum("members").alias("m"), F.sum("asks").alias("a"), F.sum("shingles").alias("s"))
+    across = F.greatest(F.ceil(F.col("m") / HOT), F.least("m", F.ceil(F.col("s") / HELD))).cast("int")
+    sizes = settle(sizes.where((F.col("m") > HOT) | (F.col("s") > HELD) | (F.col("m") > 0) & (F.col("a") > ASKS * HOT)).select("bucket", across.alias("across"), F.ceil(F.col("a") / (ASKS * HOT)).cast("int").alias("down")))
     if sizes.isEmpty():
         rows = rows.withColumn("salt", F.lit(0))
     else:  # a large bucket becomes a grid: members take a column of it, what asks takes a row
@@ -226,7 +236,7 @@ def dealt(nodes: DataFrame, tau: int, least: float) -> DataFrame | None:
         members = hot.where(F.col("probe") != ASK).withColumn("probe", F.lit(MEMBER).cast("byte")).select("*", F.explode(F.transform(upto(F.col("down")), lambda y: cell(column, y))).alias("salt"))
         asking = hot.where(F.col("probe") != MEMBER).withColumn("probe", F.lit(ASK).cast("byte")).select("*", F.explode(F.transform(upto(F.col("across")), lambda x: cell(x, line))).alias("salt"))
         rows = rows.where("across is null").withColumn("salt", F.lit(0)).select(names).unionByName(members.select(names)).unionByName(asking.select(names))
-    return gathered(rows)
+    return gathered(rows), [(sum(1 << b for b in own), t) for own, t in chosen]
 
 
 def gathered(rows: DataFrame) -> DataFrame:
@@ -234,10 +244,13 @@ def gathered(rows: DataFrame) -> DataFrame:
 
 
 class Bucket:
-    """The members of one bucket and the pairs of what asks it, as both come in batches: members first."""
+    """The members of one bucket and the pairs of what asks it, as both come in batches: members first.
 
-    def __init__(self, tau: int, least: float):
-        self.tau, self.least = tau, least
+    A pair that meets in several partitions counts in the first of them only.
+    """
+
+    def __init__(self, chosen: list[tuple[int, int]], tau: int, least: float):
+        self.chosen, self.tau, self.least = chosen, tau, least
         self.members: dict[str, np.ndarray] = {}
 
     def add(self, c: dict[str, np.ndarray]) -> None:
@@ -265,7 +278,13 @@ class Bucket:
         else:  # of two nodes that ask each other one does
             mutual = (asks["bucket_class"][i] == m["bucket_class"][j]) if "bucket_class" in m else np.ones(len(i), bool)
             fit &= ~mutual | (asks["node"][i] < m["node"][j])
-        return i[fit], j[fit]
+        i, j = i[fit], j[fit]
+        if len(i):
+            differ, before = asks["fp"].view(np.uint64)[i] ^ m["fp"].view(np.uint64)[j], np.zeros(len(i), bool)
+            for mask, t in self.chosen[: int(m["bucket"][0]) >> 58]:
+                before |= np.bitwise_count(differ & np.uint64(mask)) <= t
+            i, j = i[~before], j[~before]
+        return i, j
 
 
 def by_bucket(batches, width: float):
@@ -289,8 +308,8 @@ def by_bucket(batches, width: float):
 class Forest(Bucket):
     """Keeps only the pairs that join two trees."""
 
-    def __init__(self, tau: int):
-        super().__init__(tau, 0.0)
+    def __init__(self, chosen: list, tau: int):
+        super().__init__(chosen, tau, 0.0)
         self.root, self.edges = np.zeros(0, np.int64), []
 
     def meet(self, asks: dict, i: np.ndarray, j: np.ndarray) -> None:
@@ -328,114 +347,120 @@ def _joining(trees: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
 
 def links(nodes: DataFrame, tau: int) -> DataFrame:
     """Distinct (node, fp, size) -> edges (a, b) of nodes within tau bits: of each bucket a spanning forest."""
-    rows = dealt(nodes, tau, 0.0)
-    if rows is None:
+    found = dealt(nodes, tau, 0.0)
+    if found is None:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    rows, chosen = found
+    return rows.mapInArrow(_each(lambda: Forest(chosen, tau), 0.0), "a long, b long").distinct()
 
-    def meet(batches):
-        state = None
-        for new, cols in by_bucket(batches, 0.0):
-            if new:
-                if state:
-                    yield from state.done()
-                state = Forest(tau)
-            state.add(cols)
-        if state:
-            yield from state.done()
 
-    return rows.mapInArrow(meet, "a long, b long").distinct()
+class Partners(Bucket):
+    """Keeps the rows of a bucket that have a partner in it, and no pairs."""
 
-
-class Sample(Bucket):
-    """A bucket's pairs to verify: all, or, of too many, those of smallest hash; then its rows that still have pairs stay."""
-
-    def __init__(self, tau: int, least: float, tries: int):
-        super().__init__(tau, least)
-        self.tries, self.cut, self.more = tries, np.iinfo(np.int64).max, False
-        self.pairs: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        self.open: list[dict] = []
-        self.has = np.zeros(0, bool)
+    def __init__(self, chosen: list, tau: int, least: float):
+        super().__init__(chosen, tau, least)
+        self.has, self.asking = np.zeros(0, bool), []
 
     def meet(self, asks: dict, i: np.ndarray, j: np.ndarray) -> None:
-        m = self.members
-        if "root" in m:
-            fit = asks["root"][i] != m["root"][j]
-            i, j = i[fit], j[fit]
         if not len(i):
             return
-        a, b = asks["node"][i], m["node"][j]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        g = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
-        g = (g ^ g >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        g = ((g ^ g >> np.uint64(32)) >> np.uint64(1)).astype(np.int64)
-        if "above" in m:
-            fit = g >= m["above"][0]
-            a, b, g, i, j = a[fit], b[fit], g[fit], i[fit], j[fit]
-        self.has = np.concatenate([self.has, np.zeros(len(m["node"]) - len(self.has), bool)])
+        node = self.members["node"]
+        self.has = np.concatenate([self.has, np.zeros(len(node) - len(self.has), bool)])
         self.has[j] = True
         if asks["probe"][0] == ASK:
             some = np.unique(i)
-            self.open.append({k: v[some] for k, v in asks.items()})
+            self.asking.append({k: v[some] for k, v in asks.items()})
         else:
-            self.has |= np.isin(m["node"], asks["node"][i])
-        fit = g <= self.cut
-        self.pairs = [np.concatenate([x, y[fit]]) for x, y in zip(self.pairs, (a, b, g))]
-        many = max(64, self.tries * len(m["node"]))
-        if len(self.pairs[2]) > 2 * many:
-            self.cut, self.more = np.partition(self.pairs[2], many)[many], True
-            fit = self.pairs[2] <= self.cut
-            self.pairs = [x[fit] for x in self.pairs]
+            self.has |= np.isin(node, asks["node"][i])
+
+    def done(self):
+        for rows in [{k: v[: len(self.has)][self.has] for k, v in self.members.items()}, *self.asking] if self.has.any() else ():
+            yield batch(**{k: pa.array(rows[k].astype(t)) for k, t in ROW.items()})
+
+
+class Verified(Bucket):
+    """Counts the similarity of pairs whose ends are in different trees; those that pass join the trees."""
+
+    def __init__(self, chosen: list, tau: int, least: float):
+        super().__init__(chosen, tau, least)
+        self.root, self.edges = np.zeros(0, np.int64), []
+
+    def meet(self, asks: dict, i: np.ndarray, j: np.ndarray) -> None:
+        if not len(i):
+            return
+        node, held = self.members["node"], self.members["shingles"]
+        self.root = np.concatenate([self.root, np.arange(len(self.root), len(node))])
+        order = np.argsort(node, kind="stable")
+        place = order[np.minimum(np.searchsorted(node, asks["node"], sorter=order), len(node) - 1)]
+        for k, first, last in zip(*(x.tolist() for x in _runs(i))):
+            me = place[k] if node[place[k]] == asks["node"][k] else None
+            tree = -1 if me is None else self.root[me]
+            own = np.frombuffer(asks["shingles"][k], np.int64)
+            left = j[first:last]
+            left = left[self.root[left] != tree]
+            while len(left):
+                now, left = left[:32], left[32:]
+                for p in now[_alike(own, [np.frombuffer(held[p], np.int64) for p in now.tolist()], self.least)].tolist():
+                    other = self.root[p]
+                    if other != tree:
+                        self.edges.append((int(asks["node"][k]), int(node[p])))
+                        if tree >= 0:
+                            self.root[self.root == max(tree, other)] = min(tree, other)
+                        tree = other if tree < 0 else min(tree, other)
+                left = left[self.root[left] != tree]
 
     def done(self):
-        a, b, g = self.pairs
-        if len(g):
-            n = np.zeros(len(g), np.int64)
-            yield _rows({"bucket": n, "salt": n, "probe": n + PAIR, "node": a, "fp": b, "size": n}, n)
-        if self.more and self.cut < np.iinfo(np.int64).max:
-            for rows in [{k: v[: len(self.has)][self.has] for k, v in self.members.items()}, *self.open]:
-                yield _rows(rows, np.full(len(rows["node"]), self.cut + 1))
+        if self.edges:
+            a, b = zip(*self.edges)
+            yield batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+
+
+def _runs(i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first, end) of each run of equal values in a sorted array that is not empty."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1])
+    return i[first], first, np.append(first[1:], len(i))
 
 
-def _rows(rows: dict, above: np.ndarray) -> pa.RecordBatch:
-    kinds = {"bucket": np.int64, "salt": np.int32, "probe": np.int8, "node": np.int64, "fp": np.int64, "size": np.int64}
-    return batch(**{k: pa.array(rows[k].astype(t)) for k, t in kinds.items()}, above=pa.array(above))
+def _alike(own: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the sets, sorted arrays like own, have a Jaccard similarity of `least` or more with it."""
+    size = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    both = np.add.reduceat(own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every, np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
+    return both >= least * (len(own) + size - both)
 
 
-def verified(nodes: DataFrame, tau: int, least: float, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Distinct (node, fp, size) -> (node, root): components over the pairs within tau bits that check, edges to edges, lets pass.
+def verified(nodes: DataFrame, tau: int, least: float, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Distinct (node, fp, size) -> edges (a, b) of nodes within tau bits whose sets have a Jaccard similarity of `least` or more.
 
-    Pairs are verified before any are left out. A bucket hands out all of its pairs, or, of too many, those whose hash is
-    smallest; then it stays open. What passed is joined into components, and an open bucket goes on above the hash it came
-    to, among pairs still in different components, until none is left. So each pair within tau bits passes, fails, or has
-    its ends in one component already. Pairs whose sizes differ by more than a factor of `least` never meet.
+    sets gives (node, shingles), sorted 64-bit hashes as bytes, for a table of nodes. First only rows that have a partner
+    are kept; then their sets are sent to their buckets and pairs are counted there, before any is left out. Of what passes a
+    bucket returns a spanning forest; pairs are never rows. Pairs whose sizes differ by more than `least` never meet.
     """
-    rows = dealt(nodes, tau, least)
-    if rows is None:
-        return nodes.select("node", F.col("node").alias("root")).limit(0)
-    width = 1e-9 - math.log(least) if least else 0.0
-    parts, turn = None, 0
-    while True:
-
-        def meet(batches, tries=TRIES * 4**turn):
-            state = None
-            for new, cols in by_bucket(batches, width):
-                if new:
-                    if state:
-                        yield from state.done()
-                    state = Sample(tau, least, tries)
-                state.add(cols)
-            if state:
-                yield from state.done()
-
-        out = settle(rows.mapInArrow(meet, "bucket long, salt int, probe byte, node long, fp long, size long, above long"))
-        good = check(out.where(F.col("probe") == PAIR).select(F.col("node").alias("a"), F.col("fp").alias("b")).distinct())
-        parts = components(good if parts is None else good.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))), FEW)
-        left = out.where(F.col("probe") != PAIR)
-        if left.isEmpty():
-            return parts
-        left = left.join(parts, "node", "left")
-        rows = gathered(left.select("bucket", "salt", "probe", "node", "fp", "size", "above", F.coalesce("root", "node").alias("root")))
-        turn += 1
+    found = dealt(nodes, tau, least)
+    if found is None:
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    rows, chosen = found
+    rows = settle(rows.mapInArrow(_each(lambda: Partners(chosen, tau, least), least), KIND))
+    rows = gathered(rows.join(sets(rows.select("node").distinct()), "node").select(*ROW, "shingles"))
+    return rows.mapInArrow(_each(lambda: Verified(chosen, tau, least), least), "a long, b long").distinct()
+
+
+def _each(make: Callable, least: float):
+    """A function of Arrow batches: every bucket goes through an object of its own, made by make()."""
+    width = _width(least)
+
+    def run(batches):
+        state = None
+        for new, cols in by_bucket(batches, width):
+            if new:
+                if state:
+                    yield from state.done()
+                state = make()
+            state.add(cols)
+        if state:
+            yield from state.done()
+
+    return run
 
 
 def shingles(data: bytes, words: int) -> set[bytes]:
@@ -443,38 +468,21 @@ def shingles(data: bytes, words: int) -> set[bytes]:
     return {b" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))} if tokens else set()
 
 
-def similar(edges: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, least: float) -> DataFrame:
-    """The edges (a, b) whose whole texts share `least` or more of their distinct shingles (Jaccard), counted exactly.
+def shingle_sets(asked: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the nodes in asked (node, doc_id, h), which names a row of keyed (doc_id, h, t) for each.
 
-    nodes (node, first) name a row of each node in keyed (doc_id, h, t). Only texts of nodes that have an edge are moved:
-    up to SMALL such nodes, once counted, are sent to where the texts are.
+    Only texts that are asked for are moved: up to SMALL of them, once counted, are told to where the texts are.
     """
 
-    def alike(batches):
+    def hashed(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                cut = b.slice(at, 256)
-                held: dict[int, set] = {}
-                keep = []
-                for x, y, s, t in zip(*(cut.column(k).to_pylist() for k in range(4))):
-                    for node, text in ((x, s), (y, t)):
-                        if node not in held:
-                            if len(held) > 64:
-                                held.clear()
-                            held[node] = shingles(text or b"", words)
-                    p, q = held[x] if x in held else shingles(s or b"", words), held[y]
-                    both = len(p & q)
-                    keep.append(both >= least * (len(p) + len(q) - both))
-                yield cut.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    edges = settle(edges)
-    asked = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.doc_id", "first.h"), "node"))
+            yield batch(node=b.column(0), shingles=pa.array([fingerprint(x, words, True)[4] for x in blobs(b.column(1))], pa.binary()))
+
+    asked = settle(asked)
     if asked.limit(SMALL + 1).count() <= SMALL:
         asked = F.broadcast(asked)
     texts = asked.alias("q").join(keyed.alias("k"), (F.col("q.h") == F.col("k.h")) & F.col("q.doc_id").eqNullSafe(F.col("k.doc_id"))).select("node", "t")
-    texts = settle(texts.dropDuplicates(["node"]))
-    first, second = (texts.select(F.col("node").alias(n), F.col("t").alias(f"t{n}")) for n in "ab")
-    return edges.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long")
+    return settle(texts.mapInArrow(hashed, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles")))
 
 
 def _grouped(docs: DataFrame, words: int, tau: int, least: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -486,7 +494,8 @@ def _grouped(docs: DataFrame, words: int, tau: int, least: float | None, id_col:
         parts = components(links(nodes, tau), FEW)
     else:  # a text without words is like none but those of its own node
         keyed = _keyed(docs, id_col, text_col)
-        parts = verified(nodes.where("size > 0"), tau, least, lambda edges: similar(edges, nodes, keyed, words, least))
+        sets = lambda asked: shingle_sets(asked.join(nodes.select("node", "first.doc_id", "first.h"), "node"), keyed, words)
+        parts = components(verified(nodes.where("size > 0"), tau, least, sets), FEW)
     named = nodes.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     smallest = named.groupBy("root").agg(F.min("first").alias("winner"))
     return own, named.join(smallest, "root").select("node", "winner")
