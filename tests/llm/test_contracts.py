@@ -362,6 +362,52 @@ def test_main_text_of_odd_pages(spark):
     assert got[10] == ("", 0) and got[11] == ("alone here", 10) and got[12][0] == "a b" and len(got) == len(rows)
 
 
+def test_the_wrapper_decides_inside_articles(spark, monkeypatch):
+    """A box that every article of a host holds goes, wherever it stands; without the wrapper it stays. Copies keep their text."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    want, rows = {}, []
+    for i in range(12):
+        title, parts = words(4), [words(20) for _ in range(1 + i % 4)]
+        box = "<p>Read more on our site</p>"
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        rows.append((i, f"http://h.test/{i}", f"<body><article><h1>{title}</h1>{box if i % 2 else ''}{body}{'' if i % 2 else box}<div>All rights reserved</div></article></body>"))
+        want[i] = " ".join([title, *parts])
+    same = words(40)
+    rows += [(100 + i, f"http://copies.test/{i}", f"<article><p>{same}</p><p>end</p></article>") for i in range(8)]
+    want |= {100 + i: same + " end" for i in range(8)}
+    rows += [(200 + i, f"http://no-article.test/{i}", f"<div class=x><p>Top line</p><p>{(t := words(9))}</p><p>Copyright line</p></div>") for i in range(4)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, skeleton int").repartition(3)
+    pages = {r[0]: re.findall(r"<p>(w[^<]*)</p>", r[2]) for r in rows if r[0] >= 200}
+    want |= {i: " ".join(t) for i, t in pages.items()}
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert got == want
+    assert wrapper.content(rows[0][2], None, {}) == want[0] + " Read more on our site All rights reserved"
+    monkeypatch.setattr(wrapper, "SMALL", 0)  # the join that is not broadcast
+    assert {r.page_id: r.text for r in wrapper.main_text(df).collect()} == want
+
+
+def test_main_text_of_deep_and_long_pages(spark):
+    import time
+
+    deep = "<article>" + "<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>after</article>"
+    wide = "<article>" + "<h2>t</h2><p>x <a href=1>l<p>y" * 20_000 + "</article>"
+    empty = "<article>" + "<div>" * 40 + "</div>" * 40 + "</article><p>left"
+    closing = "<div>" * 20_000 + "</section>" * 20_000 + "x"
+    rows = [(i, f"http://h.test/{i % 2}", x) for i, x in enumerate([deep, deep + "<p>", wide, wide + "z", empty, closing, "<p>" + "word " * 1_000_000])]
+    began = time.time()
+    got = {r.page_id: r.n_chars for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == 10 and got[4] == 4 and got[5] == 1 and got[6] == 4_999_999 and got[2] > 100_000 and time.time() - began < 120
+
+
+def test_simple_tree_matching():
+    tree = lambda x: [x[0], [tree(c) for c in x[1:]]]
+    a, b = tree(["r", ["a"], ["b", ["c"], ["d"]], ["b"], ["e"]]), tree(["r", ["x"], ["b"], ["b", ["c"], ["d"]], ["e"]])
+    assert wrapper.align(a[1], b[1]) == [(1, 2), (3, 3)]
+    wrapper.merge(a, b)
+    assert [c[0] for c in a[1]] == ["x", "b", "a", "b", "b", "e"] and len(a[1][3][1]) == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels, bench = spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([], "item_id long, text string")
