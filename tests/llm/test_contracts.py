@@ -405,7 +405,7 @@ def test_simple_tree_matching():
     a, b = tree(["r", ["a"], ["b", ["c"], ["d"]], ["b"], ["e"]]), tree(["r", ["x"], ["b"], ["b", ["c"], ["d"]], ["e"]])
     assert wrapper.align(a[1], b[1]) == [(1, 2), (3, 3)]
     wrapper.merge(a, b)
-    assert [c[0] for c in a[1]] == ["x", "b", "a", "b", "b", "e"] and len(a[1][3][1]) == 0
+    assert [c[0] for c in a[1]] == ["x", "b", "a", "b", "b", "e"] and a[1][4][1] == []
 
 
 def test_empty_tables(spark):
