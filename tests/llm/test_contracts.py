@@ -239,6 +239,14 @@ def test_rules_catch_labelled_junk(spark):
     assert passed[passed.quality == 1].kept.mean() > 0.98 and passed[passed.quality == 0].kept.mean() < 0.2
 
 
+def test_every_rule_statistic_can_make_a_row_odd():
+    rng = np.random.default_rng(1)
+    plain = np.stack([rng.normal(5, 0.2, 400), np.zeros(400), np.abs(rng.normal(0, 0.01, 400)), np.abs(rng.normal(0, 0.03, 400))], 1)
+    odd = np.repeat(np.array([[5, 0, 0, 0]], float), 4, 0) + np.diag([4, 2, 1, 0.5])
+    forest = rules_forest.Forest(np.concatenate([plain, np.repeat(odd, 8, 0)]))
+    assert forest.score(odd)[:3].min() > np.quantile(forest.score(plain), 0.99) and forest.score(odd)[3] > np.median(forest.score(plain))
+
+
 def test_contamination(tables):
     for docs, df, items, bench in tables:
         same(decontam.contamination(df, bench), ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), B.contamination(docs, items))
