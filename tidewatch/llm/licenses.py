@@ -39,6 +39,17 @@ TEMPLATES = {
         " the following disclaimer in the documentation and or other materials provided with the distribution [[3]] [[neither the name of {12} nor the names of its contributors may be used to endorse"
         " or promote products derived from this software without specific prior written permission]]",
     ),
+    "mpl-notice": ("this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at {8}]]",),
+    "lgpl-notice": ("under the terms of the gnu lesser general public license as published by the free software foundation either version {2} of the license or [[at your option]] any later version",),
+    "unlicense-text": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled"
+        " binary for any purpose commercial or non commercial and by any means",
+    ),
+    "cc0-notice": ("to the extent possible under law {12} has waived all copyright and related or neighboring rights to {20}",),
+    "zlib-text": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone"
+        " to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    ),
     "isc-text": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
 }
 
@@ -100,18 +111,22 @@ class Automaton:
             now, at = self.reach(nxt), at + 1
 
 
-# a word that only license texts hold, and that every template of a label needs: texts without any are not walked
-CUES = (b" license ", b" licensed ", b" licenses ", b" cc ", b" permission ", b" redistribution ")
+def cue_of(template: str) -> bytes:
+    """The longest word of the mandatory wording, between spaces: texts without it are not walked. No such word: one space."""
+    plain = re.sub(r"\[\[.*?\]\]|\{\d+\}", " ", template).split()
+    return b" " + max(plain, key=len).encode() + b" " if plain else b" "
 
 
 class Scanner:
     def __init__(self, templates: dict = TEMPLATES):
-        self.by_start: dict[bytes, list[tuple[str, Automaton]]] = {}
+        self.by_start: dict[bytes, list[tuple[str, Automaton, bytes]]] = {}
+        self.cues: set[bytes] = set()
         for label, texts in templates.items():
             for t in texts:
-                a = Automaton(t)
+                a, cue = Automaton(t), cue_of(t)
+                self.cues.add(cue)
                 for w in a.starts():
-                    self.by_start.setdefault(w, []).append((label, a))
+                    self.by_start.setdefault(w, []).append((label, a, cue))
 
     def scan(self, data: bytes) -> dict:
         words = data.translate(ALNUM).split()
@@ -125,14 +140,20 @@ class Scanner:
                 places.append(word)
                 labels.add(label)
                 at = text.find(p, at + 1)
-        spans = []
-        if any(c in text for c in CUES):
+        found = set()
+        cues = {c for c in self.cues if c in text}
+        if cues:
             for i, w in enumerate(words):
-                for label, a in self.by_start.get(w, ()):
-                    end = a.accepts(words, i)
-                    if end is not None:
-                        spans.append((i, end, label))
-        spans = [s for s in spans if not any(o[2] == s[2] and o[:2] != s[:2] and o[0] <= s[0] and s[1] <= o[1] for o in spans)]
+                for label, a, cue in self.by_start.get(w, ()):
+                    if cue in cues:
+                        end = a.accepts(words, i)
+                        if end is not None:
+                            found.add((label, i, -end))
+        spans, last = [], None
+        for label, i, end in sorted(found):  # of one label by start, longest first: a span within one before it goes
+            if last is None or last[0] != label or -end > last[1]:
+                spans.append((i, -end, label))
+                last = (label, -end)
         return {"n_words": len(words), "places": places, "base": labels, "spans": spans}
 
 
@@ -140,8 +161,8 @@ def license_labels(docs: DataFrame, templates: dict = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every document.
 
     score is 1 where the whole mandatory wording of a template stands, 0.5 for a phrase alone, 0 for neither. spans lists
-    the words that templates match, as label:first:end. Null and empty texts have no words and no labels. Rows that repeat
-    each get a row; no documents, no rows.
+    the words that templates match, as label:first:end, of spans within spans of one label the outer one. Null and empty texts
+    have no words and no labels. Rows that repeat, in id or text, each get a row; other columns are not read; no documents, no rows.
     """
 
     def run(batches):
