@@ -256,6 +256,15 @@ def test_contamination(tables):
     assert decontam.contamination(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_part_by_part(tables, monkeypatch):
+    """Few windows a broadcast: several scans, the same result."""
+    monkeypatch.setattr(decontam, "ITEMS", 9)
+    docs, df, items, bench = tables[1]
+    assert decontam.parts(bench)[1] > 2
+    same(decontam.contamination(df, bench), ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), B.contamination(docs, items))
+    assert {r.doc_id for r in decontam.keep_clean(df, bench).collect()} == {i for i, v in B.contamination(docs, items).items() if not v[4]}
+
+
 def test_licenses(tables):
     for docs, df, *_ in tables:
         same(licenses.license_labels(df), ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"), {i: B.phrases(t) for i, t in docs})
@@ -276,6 +285,14 @@ def test_license_templates(text, labels):
     assert ",".join(sorted(got["base"] | {s[2] for s in got["spans"]})) == labels
 
 
+def test_every_template_is_found_by_its_cue():
+    for label, texts in licenses.TEMPLATES.items():
+        for x in texts:
+            plain = re.sub(r"\{\d+\}", "acme", re.sub(r"\[\[.*?\]\]", " ", x))
+            assert label in {s[2] for s in licenses.Scanner().scan(f"some words {plain} and more".encode())["spans"]}
+            assert licenses.Scanner({label: ("x [[y]] z",)}).scan(b"a x z b")["spans"] == [(1, 3, label)]
+
+
 def test_replaceable_regions_hold_so_many_words():
     a = licenses.Automaton("x {2} y [[z]] end")
     for text, end in (("x y end", 3), ("x a y end", 4), ("x a b y end", 5), ("x a b y z end", 6), ("x a b c y end", None), ("x y z z end", None)):
@@ -297,6 +314,36 @@ def test_markov_tells_random_from_ordinary():
         assert (len(secrets.all_spans(f"say {word} now", model)[1]) == 1) == random_
 
 
+def test_markov_on_held_out_samples():
+    """Strings of other words and digests than the samples': few ordinary ones pass the margin, most random ones do."""
+    import base64
+    import hashlib
+
+    model = secrets.Markov(secrets.labelled_samples())
+    rng = random.Random(3)
+    others = "garden window bottle copper silver morning market winter yellow signal planet velvet basket turtle saddle orange".split()
+    plain = ["_".join(rng.sample(others, 3)) for _ in range(500)] + ["".join(x.title() for x in rng.sample(others, 3)) for _ in range(500)]
+    blind = [hashlib.sha256(f"other {i}".encode()).digest() for i in range(500)]
+    keys = [base64.b64encode(h).decode()[:24] for h in blind] + [h.hex()[:23] for h in blind]
+    assert model.recall > 0.95 and np.mean([model.score(x) > model.margin for x in keys]) > 0.95 and np.mean([model.score(x) > model.margin for x in plain]) < 0.01
+
+
+def test_very_long_texts_of_many_matches():
+    """A text of 5 MB and a word of 1 MB through the scanners that work in one pass."""
+    import time
+
+    began = time.time()
+    lines = "released under the MIT License this token = abcdef123 deadbeefdeadbeefdeadbeef\n" * 62_000
+    model = secrets.Markov(secrets.labelled_samples())
+    scan = licenses.Scanner().scan(lines.encode())
+    assert len(scan["places"]) == 62_000 and len(scan["spans"]) == 62_000
+    base, every = secrets.all_spans(lines, model)
+    assert len(base) == 2 * 62_000 and secrets.masked("a" * (1 << 20), model)
+    assert rules_forest.statistics(lines.encode())[3] == 61_999 and quality_knn.terms(lines.encode()).any() and simhash.fingerprint(lines.encode(), 5)[1] > 500_000
+    assert decontam.hits(decontam.Searcher({w: {"1"} for w in decontam.windows(lines[:200])}), [lines.encode(), b"x" * (1 << 20)])[1][1] == []
+    assert time.time() - began < 120
+
+
 def test_quality(spark, tables):
     d = "/root/testdata/sf0.01"
     out = queries.op2_quality(spark, d).toPandas()

@@ -20,8 +20,8 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")  # the same runs as HEX, of 24 characters or more
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MARGIN = 0.35  # mean log-likelihood ratio a character, from which a string counts as random
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")  # shorter strings are too few characters for a ratio to tell
+FALSE = 0.001  # share of held-out ordinary strings that may score the margin or more
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 # parts that the ordinary identifiers of the training sample are put together from
@@ -34,20 +34,30 @@ PARTS = (
 ).split()
 
 
-def labelled_samples() -> list[tuple[str, int]]:
-    """(string, 1 if random): both made by a rule, so that they are the same everywhere."""
+def labelled_samples(n: int = 1200) -> list[tuple[str, int]]:
+    """(string, 1 if random): both made by a rule, so that they are the same everywhere. Strings have 12 to 43 characters.
+
+    Random ones are digests written in four alphabets; ordinary ones are words joined as identifiers, paths, dates and versions.
+    """
     out = []
-    for i in range(600):
-        h = hashlib.sha512(f"sample {i}".encode())
-        size = 20 + i % 24
-        out += [(h.hexdigest()[:size], 1), (base64.b64encode(h.digest()).decode()[:size], 1), (base64.b32encode(h.digest()).decode()[:size], 1), (base64.urlsafe_b64encode(h.digest()).decode()[:size], 1)]
-        a = [PARTS[b % len(PARTS)] for b in h.digest()[:4]]
-        out += [("_".join(a), 0), (a[0] + "".join(x.title() for x in a[1:]), 0), ("-".join(a[:3]) + f"-{i % 100}", 0), ("/" + "/".join(a) + f"/{1990 + i % 40}", 0), ("_".join(a).upper(), 0), ("".join(a), 0)]
+    for i in range(n):
+        h = hashlib.sha512(f"sample {i}".encode()).digest()
+        size = 12 + i % 32
+        out += [(x[:size], 1) for x in (h.hex(), base64.b64encode(h).decode(), base64.b32encode(h).decode(), base64.urlsafe_b64encode(h).decode())]
+        a, number = [PARTS[b % len(PARTS)] for b in h[:4]], h[5]
+        out += [(x, 0) for x in (
+            "_".join(a), a[0] + "".join(x.title() for x in a[1:]), "".join(x.title() for x in a[:3]) + str(number % 10), "-".join(a[:3]) + f"-{number}", "/" + "/".join(a) + f"/{1990 + number % 40}", "_".join(a).upper(),
+            "".join(a), f"{a[0]}-{1990 + number % 40}-{1 + number % 12:02}-{1 + number % 28:02}", f"{a[0]}/{a[1]}-{number % 9}-{number}-{i % 10}", f"{a[0].title()}{a[1].title()}V{number}",
+        ) if len(x) >= 12]
     return out
 
 
 class Markov:
-    """First-order character models of the two kinds; score() is their mean log-likelihood ratio a character."""
+    """First-order character models of the two kinds; score() is their mean log-likelihood ratio a character.
+
+    They are trained from two in three samples; margin is set by the rest: as few of the ordinary strings as FALSE score so much.
+    recall is the share of the held-out random strings that do.
+    """
 
     def __init__(self, samples: list[tuple[str, int]]):
         n = len(ALPHABET)
@@ -56,11 +66,16 @@ class Markov:
             place[ord(c)] = i
         self.place = place
         counts = np.full((2, n + 1, n + 1), 0.5)
-        for text, kind in samples:
+        for k, (text, kind) in enumerate(samples):
+            if k % 3 == 2:
+                continue
             x = place[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
             np.add.at(counts[kind], (x[:-1], x[1:]), 1.0)
         p = counts / counts.sum(2, keepdims=True)
         self.ratio = np.log(p[1]) - np.log(p[0])
+        held = [[self.score(text) for text, kind in samples[2::3] if kind == k] for k in (0, 1)]
+        self.margin = max(0.0, float(np.quantile(held[0], 1 - FALSE))) if held[0] else 0.0
+        self.recall = float(np.mean(np.array(held[1]) > self.margin)) if held[1] else 0.0
 
     def score(self, text: str) -> float:
         x = self.place[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
@@ -85,14 +100,15 @@ _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 def all_spans(text: str, model: Markov) -> tuple[list, list]:
     """(fixed spans, all spans): strings that look random are added where no fixed span lies."""
     base = base_spans(text)
-    more = []
+    more, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        word = m[0]
-        if any(a < e and s < z for a, _, z in base):
+        while at < len(base) and base[at][0] < e:  # both go by start
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach > s:
             continue
-        kinds = any(c.isdigit() for c in word) + any(c.islower() for c in word) + any(c.isupper() for c in word[1:])
-        if kinds >= 2 and model.score(word) >= MARGIN:
+        if model.score(m[0]) > model.margin:
             more.append((s, 3, e))
     return base, sorted(base + more)
 
@@ -104,7 +120,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document; places are code points, ends exclusive.
 
-    Null and empty texts have no spans. Rows that repeat each get a row; no documents, no rows.
+    Null and empty texts have no spans. Rows that repeat, in id or text, each get a row; other columns are not read; no
+    documents, no rows. Kind random is what the models add, of 12 characters or more and where no fixed form lies.
     """
     model = Markov(samples or labelled_samples())
 
@@ -130,7 +147,11 @@ def masked(text: str, model: Markov) -> str:
 
 
 def mask_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None) -> DataFrame:
-    """docs with every secret replaced by its kind in brackets, and n_chars counted again; no row goes."""
+    """docs with every secret replaced by its kind in brackets, and n_chars counted again; no row goes.
+
+    Null texts stay null; all other columns stay as they are; of spans that overlap the first is replaced, and the rest of the
+    others goes with it.
+    """
     model = Markov(samples or labelled_samples())
     names = docs.columns
 
