@@ -192,6 +192,21 @@ def test_repeats(tables):
             assert got == B.repeats(docs, length)
 
 
+@pytest.mark.parametrize("large", [2, 1 << 16])
+def test_repeats_of_rows_that_share_ids(spark, monkeypatch, large):
+    """Null and repeated ids: every row is a document of its own. Cores of many flanks are counted on Spark, with the same result."""
+    monkeypatch.setattr(bwt_repeats, "LARGE", large)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = word(450)
+    texts = ["x" * 500, "y" * 300 + "z" * 300, passage, "q" + passage, word(30) + passage + word(500), passage[:420] + word(60), word(80) + passage[20:], "same " * 100, "same " * 100, None, "", word(2000)]
+    texts += [word(rng.randint(0, 40)) + passage[rng.randint(0, 30) : 450 - rng.randint(0, 30)] + word(40) for _ in range(30)]
+    ids = [1, 1, None, None, 0, 0, 5, 6, 6, None, None, 5, *rng.choices([None, 0, 1, 2], k=30)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], "doc_id long, text string, h string").repartition(3)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, B.sha(bytes(r.kept))) for r in bwt_repeats.strip_repeats(df, 400).collect()))
+    assert got == sorted((i is None, i or 0, *v) for i, v in zip(ids, B.repeats(list(enumerate(texts))).values()))
+
+
 def test_repeats_over_pieces(spark, monkeypatch):
     """Long texts go through in pieces, many shards are merged, and flanks differ by single bytes."""
     rng = random.Random(1)

@@ -30,6 +30,8 @@ BLOCK = 24  # window starts in a block
 PIECE = 1 << 20  # bytes of a text handled at once
 SHARD = 1 << 16  # symbols of a shard whose transform is built at once
 MERGE = 1 << 21  # symbols merged at once, or one group if that is larger
+LARGE = 1 << 16  # flanks of one core from which its windows are counted on Spark, as they should not meet in one task
+ROWS = 1 << 17  # rows of segments or blocks handed on at once
 
 _TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -154,57 +156,81 @@ def repeated_windows(lefts: list[bytes], cores: np.ndarray, rights: list[bytes])
     return out
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """(doc_id, h, t, more): an id, 0 for null, and a hash of id and text, which tells rows apart that share an id."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("binary").alias("t"), *more)
+
+
 def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, last): runs of window starts, in bytes, that are repeated. doc_id must tell rows apart."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).where(F.octet_length("t") >= length)
+    """(doc_id, h, first, last): runs of window starts, in bytes, that are repeated; doc_id and h as in _keyed()."""
+    texts = _keyed(docs, id_col, text_col).where(F.octet_length("t") >= length)
 
     def cut(batches):
+        cols: dict[str, list] = {k: [] for k in ("doc_id", "h", "anchor", "digest", "q", "s", "e")}
+
+        def rows():
+            whole = {k: pa.array(v, pa.int32() if k in "qe" else pa.int64()) for k, v in cols.items() if k != "anchor"}
+            out = batch(**whole | {"anchor": pa.array(np.array(cols["anchor"], np.uint64).view(np.int64))}).select(list(cols))
+            for v in cols.values():
+                v.clear()
+            return out
+
         for b in batches:
-            ids, h, d, q, s, e = [], [], [], [], [], []
-            for i, x in zip(b.column(0).to_pylist(), blobs(b.column(1))):
+            for i, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blobs(b.column(2))):
                 for a, p, f, l in segments(x, length):
-                    ids.append(i)
-                    h.append(a)
-                    d.append(int.from_bytes(hashlib.blake2b(x[f : l + length], digest_size=8).digest(), "little", signed=True))
-                    q.append(p - f)
-                    s.append(f)
-                    e.append(l - f)
-            yield batch(doc_id=pa.array(ids, pa.int64()), anchor=pa.array(np.array(h, np.uint64).view(np.int64)), digest=pa.array(d, pa.int64()), q=pa.array(q, pa.int32()), s=pa.array(s, pa.int64()), e=pa.array(e, pa.int32()))
-
-    every = stored(texts.mapInArrow(cut, "doc_id long, anchor long, digest long, q int, s long, e int"))
+                    digest = int.from_bytes(hashlib.blake2b(x[f : l + length], digest_size=8).digest(), "little", signed=True)
+                    for k, v in zip(cols, (i, h, a, digest, p - f, f, l - f)):
+                        cols[k].append(v)
+                    if len(cols["s"]) >= ROWS:
+                        yield rows()
+        if cols["s"]:
+            yield rows()
+
+    every = stored(texts.mapInArrow(cut, "doc_id long, h long, anchor long, digest long, q int, s long, e int"))
     # anchor and digest together are 128 bits of a segment; e and q count from s
-    kinds = stored(every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s", "e", "q")).alias("one")))
+    kinds = stored(every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "s", "e", "q")).alias("one")))
+    whole = stored(every.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", "h", F.col("s").alias("first"), (F.col("s") + F.col("e")).alias("last")))
+    discard(every)
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-    whole = every.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", F.col("s").alias("first"), (F.col("s") + F.col("e")).alias("last"))
     open_ = kinds.join(mixed, "anchor").select("anchor", (F.col("n") > 1).alias("known"), "one.*")
-    per_doc = open_.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "known", "s", "e", "q")).alias("segs"))  # of one text
+    per_doc = stored(open_.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "known", "s", "e", "q")).alias("segs")))  # of one text
+    discard(kinds)
 
     def blocks(batches):
+        cols: dict[str, list] = {k: [] for k in ("doc_id", "h", "core", "known", "start", "left", "right")}
+        types = dict(doc_id=pa.int64(), h=pa.int64(), core=pa.binary(), known=pa.bool_(), start=pa.int64(), left=pa.binary(), right=pa.binary())
+
+        def rows():
+            out = batch(**{k: pa.array(v, types[k]) for k, v in cols.items()})
+            for v in cols.values():
+                v.clear()
+            return out
+
         for b in batches:
-            cols: dict[str, list] = {k: [] for k in ("doc_id", "core", "known", "start", "left", "right")}
-            for i, x, segs in zip(b.column(0).to_pylist(), blobs(b.column(1)), b.column(2).to_pylist()):
+            for i, h, x, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blobs(b.column(2)), b.column(3).to_pylist()):
                 for g in segs:
                     s, e, q = g["s"], g["s"] + g["e"], g["s"] + g["q"]
                     for k in range((s - q) // BLOCK, (e - q) // BLOCK + 1):
                         lo, hi = q + k * BLOCK, q + k * BLOCK + BLOCK - 1  # window starts of the block
                         f, l = max(lo, s), min(hi, e)
-                        core = x[hi : lo + length]
-                        cols["doc_id"].append(i)
-                        cols["core"].append(hashlib.blake2b(core, digest_size=16, key=(g["anchor"] & (2**64 - 1)).to_bytes(8, "little"), salt=(k & 0xFFFF).to_bytes(2, "little")).digest())
-                        cols["known"].append(g["known"])
-                        cols["start"].append(f)
-                        cols["left"].append(x[f:hi])
-                        cols["right"].append(x[lo + length : l + length])
-            yield batch(doc_id=pa.array(cols["doc_id"], pa.int64()), core=pa.array(cols["core"], pa.binary()), known=pa.array(cols["known"], pa.bool_()), start=pa.array(cols["start"], pa.int64()), left=pa.array(cols["left"], pa.binary()), right=pa.array(cols["right"], pa.binary()))
-
-    kind = "doc_id long, core binary, known boolean, start long, left binary, right binary"
-    rows = stored(texts.join(per_doc, "doc_id").mapInArrow(blocks, kind))
+                        core = hashlib.blake2b(x[hi : lo + length], digest_size=16, key=(g["anchor"] & (2**64 - 1)).to_bytes(8, "little"), salt=(k & 0xFFFF).to_bytes(2, "little")).digest()
+                        for name, v in zip(cols, (i, h, core, g["known"], f, x[f:hi], x[lo + length : l + length])):
+                            cols[name].append(v)
+                    if len(cols["h"]) >= ROWS:
+                        yield rows()
+        if cols["h"]:
+            yield rows()
+
+    kind = "doc_id long, h long, core binary, known boolean, start long, left binary, right binary"
+    rows = stored(texts.join(per_doc, ["doc_id", "h"]).mapInArrow(blocks, kind))
+    discard(per_doc)
     # equal rows become one; a core with one flank left needs no sorting: its windows all repeat or none does
-    flanks = rows.groupBy("core", "left", "right").agg(F.count("*").alias("n"))
+    flanks = stored(rows.groupBy("core", "left", "right").agg(F.count("*").alias("n")))
     cores = flanks.groupBy("core").agg(F.count("*").alias("flanks"), F.max("n").alias("most"))
     alike = cores.where("flanks = 1 and most > 1").select("core")
-    whole_blocks = rows.where("not known").join(alike, "core", "left_semi").select("doc_id", F.col("start").alias("first"), (F.col("start") + _windows(length)).alias("last"))
-    many = flanks.join(cores.where("flanks > 1").select("core"), "core")
+    whole_blocks = stored(rows.where("not known").join(alike, "core", "left_semi").select("doc_id", "h", F.col("start").alias("first"), (F.col("start") + _windows(length)).alias("last")))
+    many = flanks.join(cores.where(f"flanks > 1 and flanks <= {LARGE}").select("core"), "core")
+    large = flanks.join(cores.where(f"flanks > {LARGE}").select("core"), "core")
 
     def merge(batches):
         held: list[pa.RecordBatch] = []
@@ -227,11 +253,23 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
         if held:
             yield _merged(pa.Table.from_batches(held))
 
-    runs = many.repartition("core").sortWithinPartitions("core").mapInArrow(merge, "core binary, left binary, right binary, runs array<struct<a:int,z:int>>")
-    part = rows.where("not known").join(runs, ["core", "left", "right"]).select("doc_id", "start", F.explode("runs").alias("r")).select("doc_id", (F.col("start") + F.col("r.a")).alias("first"), (F.col("start") + F.col("r.z")).alias("last"))
-    found = stored(whole.unionByName(whole_blocks).unionByName(part))
-    discard(every, kinds, rows)
-    return found
+    kind = "core binary, left binary, right binary, runs array<struct<a:int,z:int>>"
+    runs = many.repartition("core").sortWithinPartitions("core").mapInArrow(merge, kind).unionByName(_counted(large))
+    part = rows.where("not known").join(runs, ["core", "left", "right"]).select("doc_id", "h", "start", F.explode("runs").alias("r"))
+    part = stored(part.select("doc_id", "h", (F.col("start") + F.col("r.a")).alias("first"), (F.col("start") + F.col("r.z")).alias("last")))
+    discard(rows, flanks)
+    return whole.unionByName(whole_blocks).unionByName(part)
+
+
+def _counted(flanks: DataFrame) -> DataFrame:
+    """(core, left, right, runs) as _merged() gives them, for cores of any number of flanks: each window is a row and is counted."""
+    last = F.octet_length("left") + 1 + F.octet_length("right") - BLOCK
+    starts = flanks.where(last >= 0).select("core", "left", "right", "n", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    own = F.octet_length("left") - F.col("k")  # bytes of the window before the core
+    ends = starts.select("*", F.substring("left", F.col("k") + 1, own).alias("a"), F.substring("right", F.lit(1), F.lit(BLOCK - 1) - own).alias("b"))
+    twice = ends.groupBy("core", "a", "b").agg(F.sum("n").alias("times")).where("times > 1").select("core", "a", "b")
+    found = ends.join(twice, ["core", "a", "b"]).groupBy("core", "left", "right").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    return found.select("core", "left", "right", F.transform("ks", lambda k: F.struct(k.cast("int").alias("a"), k.cast("int").alias("z"))).alias("runs"))
 
 
 def _windows(length: int):
@@ -258,10 +296,10 @@ def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes that repeated strings cover.
 
     Matches never cross documents; the input alone decides. Null texts are empty; texts shorter than `length` stay whole.
-    doc_id is the key: rows that share an id must not differ in text (such rows share one list of runs). Rows with null
-    id are returned whole. No documents: no rows.
+    Every row counts as a document, whether its id is null or repeated; a row that occurs twice is repeated as a whole. No
+    documents: no rows. Other columns are not read.
     """
-    runs = repeats(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
+    runs = repeats(docs, length).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # of one text
 
     def run(batches):
         for b in batches:
@@ -284,5 +322,5 @@ def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 kept.append(b"".join(out))
             yield batch(doc_id=b.column(0), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), kept=pa.array(kept, pa.binary()))
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    return own.join(runs, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    own = _keyed(docs, "doc_id", "text", F.col("doc_id").cast("long").alias("id"))
+    return own.join(runs, ["doc_id", "h"], "left").select("id", "t", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
