@@ -188,8 +188,9 @@ def test_transducer():
 def test_repeats(tables):
     for docs, df, *_ in tables:
         for length in (400, 64):
-            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, B.sha(bytes(r.kept))) for r in bwt_repeats.strip_repeats(df, length).collect()}
-            assert got == B.repeats(docs, length)
+            out = bwt_repeats.strip_repeats(df, length, length * 3 // 4).collect()
+            assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, B.sha(bytes(r.kept))) for r in out} == B.repeats(docs, length)
+            assert {r.doc_id: r.n_passage for r in out} == {i: v[1] for i, v in B.repeats(docs, length * 3 // 4).items()}
 
 
 @pytest.mark.parametrize("large", [2, 1 << 16])
@@ -214,7 +215,7 @@ def test_repeats_over_pieces(spark, monkeypatch):
     docs = [(i, base[: 50 * i] + "#" + base[50 * i + rng.randint(0, 1) :]) for i in range(25)]
     monkeypatch.setattr(bwt_repeats, "SHARD", 100)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, B.sha(bytes(r.kept))) for r in bwt_repeats.strip_repeats(df, 100).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, B.sha(bytes(r.kept))) for r in bwt_repeats.strip_repeats(df, 100, 90).collect()}
     assert got == B.repeats(docs, 100)
     monkeypatch.setattr(bwt_repeats, "PIECE", 700)
     whole = list(bwt_repeats.segments(base.encode(), 100))

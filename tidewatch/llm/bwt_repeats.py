@@ -161,12 +161,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("binary").alias("t"), *more)
 
 
-def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, first, last): runs of window starts, in bytes, that are repeated; doc_id and h as in _keyed()."""
-    texts = _keyed(docs, id_col, text_col).where(F.octet_length("t") >= length)
+def repeats(texts: DataFrame, length: int = 400) -> DataFrame:
+    """(keys, first, last) of (keys, t): runs of window starts, in bytes, that are repeated. keys, of type long, tell rows apart."""
+    keys = [c for c in texts.columns if c != "t"]
+    named = "".join(f"{k} long, " for k in keys)
+    texts = texts.where(F.octet_length("t") >= length)
 
     def cut(batches):
-        cols: dict[str, list] = {k: [] for k in ("doc_id", "h", "anchor", "digest", "q", "s", "e")}
+        cols: dict[str, list] = {k: [] for k in (*keys, "anchor", "digest", "q", "s", "e")}
 
         def rows():
             whole = {k: pa.array(v, pa.int32() if k in "qe" else pa.int64()) for k, v in cols.items() if k != "anchor"}
@@ -176,29 +178,29 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             return out
 
         for b in batches:
-            for i, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blobs(b.column(2))):
+            for *own, x in zip(*(b.column(k).to_pylist() for k in keys), blobs(b.column("t"))):
                 for a, p, f, l in segments(x, length):
                     digest = int.from_bytes(hashlib.blake2b(x[f : l + length], digest_size=8).digest(), "little", signed=True)
-                    for k, v in zip(cols, (i, h, a, digest, p - f, f, l - f)):
+                    for k, v in zip(cols, (*own, a, digest, p - f, f, l - f)):
                         cols[k].append(v)
                     if len(cols["s"]) >= ROWS:
                         yield rows()
         if cols["s"]:
             yield rows()
 
-    every = stored(texts.mapInArrow(cut, "doc_id long, h long, anchor long, digest long, q int, s long, e int"))
+    every = stored(texts.mapInArrow(cut, named + "anchor long, digest long, q int, s long, e int"))
     # anchor and digest together are 128 bits of a segment; e and q count from s
-    kinds = stored(every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "s", "e", "q")).alias("one")))
-    whole = stored(every.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", "h", F.col("s").alias("first"), (F.col("s") + F.col("e")).alias("last")))
+    kinds = stored(every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "s", "e", "q")).alias("one")))
+    whole = stored(every.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select(*keys, F.col("s").alias("first"), (F.col("s") + F.col("e")).alias("last")))
     discard(every)
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
     open_ = kinds.join(mixed, "anchor").select("anchor", (F.col("n") > 1).alias("known"), "one.*")
-    per_doc = stored(open_.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "known", "s", "e", "q")).alias("segs")))  # of one text
+    per_doc = stored(open_.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "known", "s", "e", "q")).alias("segs")))  # of one text
     discard(kinds)
 
     def blocks(batches):
-        cols: dict[str, list] = {k: [] for k in ("doc_id", "h", "core", "known", "start", "left", "right")}
-        types = dict(doc_id=pa.int64(), h=pa.int64(), core=pa.binary(), known=pa.bool_(), start=pa.int64(), left=pa.binary(), right=pa.binary())
+        cols: dict[str, list] = {k: [] for k in (*keys, "core", "known", "start", "left", "right")}
+        types = dict.fromkeys(keys, pa.int64()) | dict(core=pa.binary(), known=pa.bool_(), start=pa.int64(), left=pa.binary(), right=pa.binary())
 
         def rows():
             out = batch(**{k: pa.array(v, types[k]) for k, v in cols.items()})
@@ -207,28 +209,28 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             return out
 
         for b in batches:
-            for i, h, x, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blobs(b.column(2)), b.column(3).to_pylist()):
+            for *own, x, segs in zip(*(b.column(k).to_pylist() for k in keys), blobs(b.column("t")), b.column("segs").to_pylist()):
                 for g in segs:
                     s, e, q = g["s"], g["s"] + g["e"], g["s"] + g["q"]
                     for k in range((s - q) // BLOCK, (e - q) // BLOCK + 1):
                         lo, hi = q + k * BLOCK, q + k * BLOCK + BLOCK - 1  # window starts of the block
                         f, l = max(lo, s), min(hi, e)
                         core = hashlib.blake2b(x[hi : lo + length], digest_size=16, key=(g["anchor"] & (2**64 - 1)).to_bytes(8, "little"), salt=(k & 0xFFFF).to_bytes(2, "little")).digest()
-                        for name, v in zip(cols, (i, h, core, g["known"], f, x[f:hi], x[lo + length : l + length])):
+                        for name, v in zip(cols, (*own, core, g["known"], f, x[f:hi], x[lo + length : l + length])):
                             cols[name].append(v)
-                    if len(cols["h"]) >= ROWS:
+                    if len(cols["core"]) >= ROWS:
                         yield rows()
-        if cols["h"]:
+        if cols["core"]:
             yield rows()
 
-    kind = "doc_id long, h long, core binary, known boolean, start long, left binary, right binary"
-    rows = stored(texts.join(per_doc, ["doc_id", "h"]).mapInArrow(blocks, kind))
+    kind = named + "core binary, known boolean, start long, left binary, right binary"
+    rows = stored(texts.join(per_doc, keys).mapInArrow(blocks, kind))
     discard(per_doc)
     # equal rows become one; a core with one flank left needs no sorting: its windows all repeat or none does
     flanks = stored(rows.groupBy("core", "left", "right").agg(F.count("*").alias("n")))
     cores = flanks.groupBy("core").agg(F.count("*").alias("flanks"), F.max("n").alias("most"))
     alike = cores.where("flanks = 1 and most > 1").select("core")
-    whole_blocks = stored(rows.where("not known").join(alike, "core", "left_semi").select("doc_id", "h", F.col("start").alias("first"), (F.col("start") + _windows(length)).alias("last")))
+    whole_blocks = stored(rows.where("not known").join(alike, "core", "left_semi").select(*keys, F.col("start").alias("first"), (F.col("start") + _windows(length)).alias("last")))
     many = flanks.join(cores.where(f"flanks > 1 and flanks <= {LARGE}").select("core"), "core")
     large = flanks.join(cores.where(f"flanks > {LARGE}").select("core"), "core")
 
@@ -255,8 +257,8 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
 
     kind = "core binary, left binary, right binary, runs array<struct<a:int,z:int>>"
     runs = many.repartition("core").sortWithinPartitions("core").mapInArrow(merge, kind).unionByName(_counted(large))
-    part = rows.where("not known").join(runs, ["core", "left", "right"]).select("doc_id", "h", "start", F.explode("runs").alias("r"))
-    part = stored(part.select("doc_id", "h", (F.col("start") + F.col("r.a")).alias("first"), (F.col("start") + F.col("r.z")).alias("last")))
+    part = rows.where("not known").join(runs, ["core", "left", "right"]).select(*keys, "start", F.explode("runs").alias("r"))
+    part = stored(part.select(*keys, (F.col("start") + F.col("r.a")).alias("first"), (F.col("start") + F.col("r.z")).alias("last")))
     discard(rows, flanks)
     return whole.unionByName(whole_blocks).unionByName(part)
 
@@ -292,35 +294,68 @@ def _merged(t: pa.Table) -> pa.RecordBatch:
     return batch(core=pa.array(core, pa.binary()), left=pa.array(left, pa.binary()), right=pa.array(right, pa.binary()), runs=pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))))
 
 
-def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes that repeated strings cover.
+def joined(runs, length: int) -> list[tuple[int, int]]:
+    """Sorted runs of window starts, those that touch or overlap as one: (first start, end of the last window)."""
+    out: list[list[int]] = []
+    for f, l in sorted(runs):
+        if out and f <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], l)
+        else:
+            out.append([f, l])
+    return [(f, l + length) for f, l in out]
+
+
+def strip_repeats(docs: DataFrame, length: int = 400, passage: int = 300) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, n_passage, kept binary): each text without the bytes that repeated strings cover.
 
     Matches never cross documents; the input alone decides. Null texts are empty; texts shorter than `length` stay whole.
     Every row counts as a document, whether its id is null or repeated; a row that occurs twice is repeated as a whole. No
-    documents: no rows. Other columns are not read.
+    documents: no rows. Other columns are not read. n_passage counts the bytes of repeated strings of `passage` bytes, which
+    stay: passages too short to be removed (50 words are some 320 bytes). `passage` is `length` at most: what repeats over
+    `length` bytes lies in runs of what repeats over `passage`, so only these runs are searched again.
     """
-    runs = repeats(docs, length).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # of one text
+    keys = ["doc_id", "h"]
+    own = _keyed(docs, "doc_id", "text", F.col("doc_id").cast("long").alias("id"))
+    short = repeats(own.select(*keys, "t"), passage)
+
+    def slices(batches):
+        for b in batches:
+            cols: dict[str, list] = {k: [] for k in ("doc_id", "h", "at", "t")}
+            for i, h, x, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blobs(b.column(2)), b.column(3).to_pylist()):
+                for f, e in joined(((y["first"], y["last"]) for y in r), passage):
+                    if e - f >= length:
+                        for k, v in zip(cols, (i, h, f, x[f:e])):
+                            cols[k].append(v)
+            yield batch(**{k: pa.array(v, pa.binary() if k == "t" else pa.int64()) for k, v in cols.items()})
+
+    runs = lambda r: r.groupBy(*keys).agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # noqa: E731  of one text
+    # equal rows give equal slices, each once more for every such row: as many times as their strings occur
+    again = stored(own.select(*keys, "t").join(runs(short), keys).mapInArrow(slices, "doc_id long, h long, at long, t binary"))
+    long = repeats(again, length).select(*keys, (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last"))
+    both = runs(long).join(runs(short).withColumnRenamed("runs", "short"), keys, "full")
 
     def run(batches):
         for b in batches:
-            n, removed, spans, kept = [], [], [], []
-            for x, r in zip(blobs(b.column(1)), b.column(2).to_pylist()):
-                out, at, cut_, count = [], 0, 0, 0
-                end = -1
-                for f, l in sorted((y["first"], y["last"]) for y in r or ()):
-                    if f > end:
-                        count += 1
-                        out.append(x[max(at, 0) : f])
-                        end = f
-                    if l + length > end:
-                        cut_ += l + length - max(end, f)
-                        end = at = l + length
+            n, removed, spans, passages, kept = [], [], [], [], []
+            for x, r, s in zip(blobs(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                found, out, at = [], [], 0
+                for f, e in joined(((y["first"], y["last"]) for y in r or ()), length):
+                    if found and f <= found[-1][1]:  # windows that overlap or touch are one span
+                        found[-1][1] = e
+                    else:
+                        found.append([f, e])
+                for f, e in found:
+                    out.append(x[at:f])
+                    at = e
                 out.append(x[at:])
+                reach = covered = 0
+                for f, e in joined(((y["first"], y["last"]) for y in s or ()), passage):
+                    covered, reach = covered + e - max(f, reach), e
                 n.append(len(x))
-                removed.append(cut_)
-                spans.append(count)
+                removed.append(sum(e - f for f, e in found))
+                spans.append(len(found))
+                passages.append(covered)
                 kept.append(b"".join(out))
-            yield batch(doc_id=b.column(0), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), kept=pa.array(kept, pa.binary()))
+            yield batch(doc_id=b.column(0), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), n_passage=pa.array(passages, pa.int64()), kept=pa.array(kept, pa.binary()))
 
-    own = _keyed(docs, "doc_id", "text", F.col("doc_id").cast("long").alias("id"))
-    return own.join(runs, ["doc_id", "h"], "left").select("id", "t", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return own.join(both, keys, "left").select("id", "t", "runs", "short").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_passage long, kept binary")

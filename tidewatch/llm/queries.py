@@ -39,7 +39,7 @@ def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bwt_repeats.strip_repeats(table(spark, sf_dir, "documents"), 400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
