@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batch, blobs, settle
+from .common import LOWER, batch, blobs, discard, settle, stored
 from .components import components
 
 PROBE_COST = 400.0  # of one shuffled and sorted probe row, in comparisons of two fingerprints (some 6 ns each)
@@ -440,9 +440,12 @@ def verified(nodes: DataFrame, tau: int, least: float, sets: Callable[[DataFrame
     if found is None:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     rows, chosen = found
-    rows = settle(rows.mapInArrow(_each(lambda: Partners(chosen, tau, least), least), KIND))
-    rows = gathered(rows.join(sets(rows.select("node").distinct()), "node").select(*ROW, "shingles"))
-    return rows.mapInArrow(_each(lambda: Verified(chosen, tau, least), least), "a long, b long").distinct()
+    rows = stored(rows.mapInArrow(_each(lambda: Partners(chosen, tau, least), least), KIND))
+    held = sets(rows.select("node").distinct())
+    both = gathered(rows.join(held, "node").select(*ROW, "shingles"))
+    edges = stored(both.mapInArrow(_each(lambda: Verified(chosen, tau, least), least), "a long, b long").distinct())
+    discard(rows)
+    return edges
 
 
 def _each(make: Callable, least: float):
@@ -482,7 +485,7 @@ def shingle_sets(asked: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
     if asked.limit(SMALL + 1).count() <= SMALL:
         asked = F.broadcast(asked)
     texts = asked.alias("q").join(keyed.alias("k"), (F.col("q.h") == F.col("k.h")) & F.col("q.doc_id").eqNullSafe(F.col("k.doc_id"))).select("node", "t")
-    return settle(texts.mapInArrow(hashed, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    return stored(texts.mapInArrow(hashed, "node long, shingles binary").dropDuplicates(["node"]))
 
 
 def _grouped(docs: DataFrame, words: int, tau: int, least: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
