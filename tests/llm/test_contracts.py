@@ -272,6 +272,17 @@ def test_contamination(tables):
     assert decontam.contamination(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_in_sql(spark, data):
+    import duckdb
+
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    out = queries.op8_decontaminate(spark, data)
+    rows = db.execute(queries.ORACLE_SQL["op8_decontaminate"])
+    assert [c[0] for c in rows.description] == out.columns and sorted(rows.fetchall()) == sorted(map(tuple, out.collect()))
+
+
 def test_contamination_part_by_part(tables, monkeypatch):
     """Few windows a broadcast: several scans, the same result."""
     monkeypatch.setattr(decontam, "ITEMS", 9)

@@ -71,6 +71,19 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-# What each method adds (model scores, hashed features, automata, tree alignment) has no SQL form; tests/llm holds the
-# queries against brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+# op8's whole result has an SQL form. What the other methods add (model scores, hashed features, automata, tree alignment) has
+# none; tests/llm holds those queries against brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+    g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + 9], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM b WHERE len(w) > 0)),
+    s AS (SELECT DISTINCT n FROM g),
+    o AS (SELECT r, k, n, array_to_string(w[k : k + n - 1], ' ') AS p FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, s WHERE len(w) >= n)),
+    f AS (SELECT r, k, o.n, item_id FROM o JOIN g ON o.p = g.p AND o.n = g.n),
+    h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM (SELECT DISTINCT r, k, n FROM f)) GROUP BY r),
+    i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM f GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+    """,
+}
