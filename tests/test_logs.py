@@ -1,5 +1,7 @@
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,45 @@ def test_file_scan(spark, tmp_path):
     assert read_lines(spark, str(p)).where(F.col("value").contains("lone\rcr")).count() == 1
     _, alerts = scan(spark, str(p))
     assert [(r.source, r.attempts, r.users, r.severity) for r in alerts.collect()] == [("198.51.100.4", 5, ["u0", "u1", "u2", "u3"], "normal")]
+
+
+def test_years_of_several_logs_are_their_own(spark, tmp_path):
+    from tidewatch.plans.logs import log_events
+    from tidewatch.sources.lines import read_lines
+
+    line = "{} sshd[1]: Failed password for root from {} port 22 ssh2\n".format
+    for name, days in (("a", ("Dec 30 01:00:00 h", "Jan  2 01:00:00 h")), ("b", ("Nov  1 01:00:00 h", "Dec 31 01:00:00 h"))):
+        (tmp_path / f"{name}.log").write_text("".join(line(d, name) for d in days))
+    got = {(r.source, r.us) for r in log_events(read_lines(spark, str(tmp_path))).select("source", "us").collect()}
+    year = {s: {str(np.datetime64(us, "us"))[:4] for x, us in got if x == s} for s in "ab"}
+    assert len(year["a"]) == 2 and len(year["b"]) == 1
+
+
+def test_json_escapes_markup(spark):
+    from tidewatch.functions.scalars import plain_json
+
+    df = spark.createDataFrame([("<a>&\"b\"",)], "s string")
+    out = df.select(plain_json(F.struct("s")).alias("j")).first().j
+    assert not set("<>&") & set(out) and out.count("\\u00") == 3 and json.loads(out) == {"s": '<a>&"b"'}
+
+
+def test_tail_of_long_lines_and_ends(tmp_path, monkeypatch):
+    from tidewatch.sources import tail
+
+    monkeypatch.setattr(tail, "MOST", 64)
+    path = tmp_path / "x.log"
+    path.write_bytes(b"one\n" + b"x" * 500 + b"\ntwo\nhalf")
+    reader = tail.TailReader(str(path), "begin")
+    at, seen = reader.initialOffset(), []
+    for _ in range(5):
+        rows, at = reader.read(at)
+        seen += [r[2] for r in rows]
+    assert seen == ["one", "x" * 500, "two"] and tail.whole_until(str(path)) == 509 and tail.whole_until(str(tmp_path / "none")) == 0
+    path.write_bytes(b"no newline" * 20_000)
+    assert tail.whole_until(str(path)) == 0
+
+
+def test_duration_text():
+    from tidewatch.cli import duration, duration_text
+
+    assert [duration_text(duration(x)) for x in ("60s", "90s", "1h", "5s", "1500ms")] == ["1m0s", "1m30s", "1h0m0s", "5s", "1.5s"]

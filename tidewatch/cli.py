@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import re
+import signal
 import sys
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ from .operators import report
 from .operators.intel import enrich, intel_json, intel_line
 from .plans.logs import last_month, scan, scan_triggers
 from .sources.lines import read_lines
-from .sources.tail import follow
+from .sources.tail import follow, whole_until
 from .streaming.live import detect, live_events, use_rocksdb
 
 _UNIT = {"ms": 1000, "s": SECOND, "m": 60 * SECOND, "h": 3600 * SECOND}
@@ -29,6 +30,14 @@ def duration(text: str) -> int:
     return sign * round(sum(float(a) * _UNIT[b] for a, b in parts))
 
 
+def duration_text(us: int) -> str:
+    """60 seconds as '1m0s'."""
+    hours, rest = divmod(us, _UNIT["h"])
+    minutes, rest = divmod(rest, _UNIT["m"])
+    seconds = f"{rest / SECOND:g}s"
+    return f"{hours}h{minutes}m{seconds}" if hours else f"{minutes}m{seconds}" if minutes else seconds
+
+
 def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="tidewatch", prefix_chars="-")
     p.add_argument("-file", required=True)
@@ -39,6 +48,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("-cti-threshold", type=int, default=3)
     p.add_argument("-cti-window", type=duration, default=3600 * SECOND)
     p.add_argument("-cti-cooldown", type=duration, default=24 * 3600 * SECOND)
+    p.add_argument("-checkpoint", help="folder that keeps how far -follow has come")
     p.add_argument("-registry", help="Parquet table ip, org, network")
     p.add_argument("-geo", help="Parquet table ip, country, city, asn, isp")
     a = p.parse_args(argv)
@@ -58,8 +68,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
     spark = spark or SparkSession.builder.appName("tidewatch").getOrCreate()
     burst, trigger = BurstConfig(a.threshold, a.window), TriggerConfig(a.cti_threshold, a.cti_window, a.cti_cooldown)
     colour = sys.stdout.isatty()
+    # where following begins: taken before the scan, so that no line falls between the two; one written meanwhile may show in both
+    begin = whole_until(a.file) if a.follow else 0
     if not (a.follow and a.quiet_startup):
-        events, alerts = scan(spark, a.file, burst)
+        events, alerts = scan(spark, a.file, burst, strict=True)
         alerts = alerts.cache()
         if a.json:
             print(render.json_array(alerts))
@@ -75,7 +87,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
     if not a.follow:
         return None
     use_rocksdb(spark)
-    print(f"Watching {a.file} for new activity (threshold={a.threshold}, window={a.window // SECOND}s)... press Ctrl+C to stop", file=sys.stderr)
+    print(f"Watching {a.file} for new activity (threshold={a.threshold}, window={duration_text(a.window)})... press Ctrl+C to stop", file=sys.stderr)
 
     def show(batch, _: int) -> None:
         found = batch.cache()
@@ -90,8 +102,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
             _notes(spark, found.where("kind = 'trigger'").select("source", "us", "reason"), a)
         found.unpersist()
 
-    query = detect(live_events(follow(spark, a.file, "end"), last_month(read_lines(spark, a.file))), burst, trigger).writeStream.outputMode("append").foreachBatch(show).start()
+    writer = detect(live_events(follow(spark, a.file, str(begin)), last_month(read_lines(spark, a.file))), burst, trigger).writeStream.outputMode("append").foreachBatch(show)
+    query = (writer.option("checkpointLocation", a.checkpoint) if a.checkpoint else writer).start()
     if wait:
+        signal.signal(signal.SIGTERM, lambda *_: query.stop())
         try:
             query.awaitTermination()
         except KeyboardInterrupt:

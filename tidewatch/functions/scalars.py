@@ -94,3 +94,11 @@ def bar(count: Column, most: Column, width: int = 40, block: str = "█") -> Col
 def location(city: Column, country: Column) -> Column:
     has = lambda c: F.coalesce(c, F.lit("")) != ""
     return F.when(has(city) & has(country), F.concat(city, F.lit(", "), country)).when(has(country), country).otherwise("")
+
+
+def plain_json(value: Column) -> Column:
+    """JSON in which <, > and & are escaped, so that it may stand in markup."""
+    out = F.to_json(value)
+    for sign, escape in (("<", r"\u003c"), (">", r"\u003e"), ("&", r"\u0026")):
+        out = F.replace(out, F.lit(sign), F.lit(escape))
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import location
+from ..functions.scalars import location, plain_json
 
 
 def enrich(triggers: DataFrame, registry: DataFrame | None, geo: DataFrame | None) -> DataFrame:
@@ -37,4 +37,4 @@ def intel_line() -> Column:
 def intel_json() -> Column:
     """The same as one JSON object with every known field."""
     full = lambda n: F.when(F.coalesce(F.col(n), F.lit("")) != "", F.col(n)).alias(n)
-    return F.to_json(F.struct(F.lit("cti").alias("type"), F.col("reason").alias("trigger"), F.col("source").alias("ip"), *map(full, ("org", "network", "country", "city", "asn", "isp"))))
+    return plain_json(F.struct(F.lit("cti").alias("type"), F.col("reason").alias("trigger"), F.col("source").alias("ip"), *map(full, ("org", "network", "country", "city", "asn", "isp"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BASE_YEAR, bar, bucket_label, bucket_start, bucket_unit, clock, severity_rank, unit_name
+from ..functions.scalars import BASE_YEAR, bar, bucket_label, bucket_start, bucket_unit, clock, plain_json, severity_rank, unit_name
 
 TIERS = ("critical", "warning", "normal")
 
@@ -74,7 +74,7 @@ def alert_json(base_year: int = BASE_YEAR) -> Column:
     """An alert as one compact JSON object; years count from 0000."""
     t = lambda c: F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col(c) / 1_000_000).cast("decimal(18,6)"))
     stamp = lambda c: F.concat(F.lpad((F.year(t(c)) - base_year).cast("string"), 4, "0"), F.date_format(t(c), "-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    return F.to_json(F.struct(F.col("source").alias("Source"), F.col("attempts").alias("Attempts"), stamp("first_us").alias("FirstSeen"), stamp("last_us").alias("LastSeen"), F.col("users").alias("Users"), F.col("severity").alias("Severity")))
+    return plain_json(F.struct(F.col("source").alias("Source"), F.col("attempts").alias("Attempts"), stamp("first_us").alias("FirstSeen"), stamp("last_us").alias("LastSeen"), F.col("users").alias("Users"), F.col("severity").alias("Severity")))
 
 
 def shown() -> list[Column]:

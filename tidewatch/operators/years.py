@@ -13,16 +13,18 @@ def years_by_order(events: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return events.withColumn("year_seq", F.sum(F.coalesce((F.col("month") < F.lag("month").over(w)).cast("int"), F.lit(0))).over(w))
 
 
-def years_by_block(events: DataFrame, block: str, order: tuple[str, ...]) -> DataFrame:
+def years_by_block(events: DataFrame, block: str, order: tuple[str, ...], log: str | None = None) -> DataFrame:
     """Adds year_seq in two steps: within blocks in parallel, then over one row per block.
 
-    block must be the leading key of the order of the lines, such as the start of a file's split.
+    block must be the leading key of the order of the lines, such as the start of a file's split. log names the column that
+    tells logs apart, each of which has years of its own (None: there is one log).
     """
-    w = W.partitionBy(block).orderBy(*order)
+    keys = [block] if log is None else [log, block]
+    w = W.partitionBy(*keys).orderBy(*order)
     local = events.withColumn("_n", F.sum(F.coalesce((F.col("month") < F.lag("month").over(w)).cast("int"), F.lit(0))).over(w))
-    ends = local.groupBy(block).agg(F.min_by("month", F.struct(*order)).alias("first"), F.max_by("month", F.struct(*order)).alias("last"), F.max("_n").alias("n"))
-    b = W.orderBy(block)
+    ends = local.groupBy(*keys).agg(F.min_by("month", F.struct(*order)).alias("first"), F.max_by("month", F.struct(*order)).alias("last"), F.max("_n").alias("n"))
+    b = W.orderBy(block) if log is None else W.partitionBy(log).orderBy(block)
     before = F.coalesce(F.sum("n").over(b.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     turns = F.sum(F.coalesce((F.col("first") < F.lag("last").over(b)).cast("int"), F.lit(0))).over(b)
-    offsets = ends.select(F.col(block).alias("_block"), (before + turns).alias("_before"))
-    return local.join(offsets, F.col(block) == F.col("_block")).withColumn("year_seq", F.col("_n") + F.col("_before")).drop("_n", "_before", "_block")
+    offsets = ends.select(*keys, (before + turns).alias("_before"))
+    return local.join(offsets, keys).withColumn("year_seq", F.col("_n") + F.col("_before")).drop("_n", "_before")

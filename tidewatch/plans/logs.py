@@ -13,15 +13,18 @@ from ..operators.years import years_by_block
 from ..sources.lines import read_lines
 
 
+ORDER = ("log_path", "block_start", "line_id")
+
+
 def log_events(lines: DataFrame) -> DataFrame:
     """Ordered lines to events with times; repeats stay weighted (rep_count)."""
-    timed = with_time(years_by_block(parse_lines(lines), "block_start", ("block_start", "line_id")))
+    timed = with_time(years_by_block(parse_lines(lines, ORDER), "block_start", ORDER[1:], "log_path"))
     return events_of(timed.withColumn("seq", F.col("line_id")), "source", "ts", "user", "seq")
 
 
-def scan(spark: SparkSession, path: str, config: BurstConfig = BurstConfig()) -> tuple[DataFrame, DataFrame]:
-    """(events, alerts) of one log file."""
-    events = log_events(read_lines(spark, path))
+def scan(spark: SparkSession, path: str, config: BurstConfig = BurstConfig(), strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(events, alerts) of a log file, or of several that each have their own years. strict: too long lines are an error."""
+    events = log_events(read_lines(spark, path, strict))
     return events, bursts(events, config)
 
 
@@ -32,6 +35,6 @@ def scan_triggers(events: DataFrame, alerts: DataFrame, config: TriggerConfig =
 
 def last_month(lines: DataFrame) -> tuple[int, int]:
     """(year_seq, month) of the last matched line, for a stream that goes on from there; (0, 0) without one."""
-    rows = years_by_block(parse_lines(lines), "block_start", ("block_start", "line_id"))
-    last = rows.agg(F.max_by(F.struct("year_seq", "month"), F.struct("block_start", "line_id")).alias("m")).first().m
+    rows = years_by_block(parse_lines(lines, ORDER), "block_start", ORDER[1:], "log_path")
+    last = rows.agg(F.max_by(F.struct("year_seq", "month"), F.struct(*ORDER)).alias("m")).first().m
     return (int(last.year_seq), int(last.month)) if last else (0, 0)

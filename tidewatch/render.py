@@ -100,4 +100,5 @@ def stats(alerts: DataFrame, colour: bool = False) -> str:
 
 def json_array(alerts: DataFrame) -> str:
     rows = [json.loads(r.j) for r in alerts.orderBy("first_us", "source").select(report.alert_json().alias("j")).collect()]
-    return json.dumps(rows, indent=2, ensure_ascii=False)
+    out = json.dumps(rows, indent=2, ensure_ascii=False)
+    return out.replace("<", r"\u003c").replace(">", r"\u003e").replace("&", r"\u0026")

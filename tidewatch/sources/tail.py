@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 CHECKED = 4096  # bytes before the position that must still be there
-MOST = 8 << 20  # bytes of one micro-batch
+MOST = 8 << 20  # bytes of one micro-batch, or one line if that is longer
 
 
 class TailSource(DataSource):
@@ -41,7 +41,7 @@ class TailReader(SimpleDataSourceStreamReader):
             at = 0
         else:
             with open(self.path, "rb") as f:
-                at = whole_lines(f.read(), 0) if self.start == "end" else int(self.start)
+                at = last_line_end(f) if self.start == "end" else int(self.start)
         return self._offset(at, 0)
 
     def _offset(self, at: int, line: int) -> dict:
@@ -65,6 +65,8 @@ class TailReader(SimpleDataSourceStreamReader):
             with open(self.path, "rb") as f:
                 f.seek(at)
                 data = f.read(MOST)
+                while len(data) >= MOST and b"\n" not in data and (more := f.read(MOST)):  # a line longer than a micro-batch
+                    data += more
         except FileNotFoundError:  # between a rename and the new file
             return iter([]), start
         size = whole_lines(data, 0)
@@ -95,6 +97,27 @@ def whole_lines(data: bytes, at: int) -> int:
     return data.rfind(b"\n", at) + 1
 
 
+def last_line_end(file) -> int:
+    """The position after the last newline of a binary file, found block by block from its end."""
+    at = file.seek(0, os.SEEK_END)
+    while at:
+        size = min(at, 1 << 16)
+        file.seek(at - size)
+        if found := whole_lines(file.read(size), 0):
+            return at - size + found
+        at -= size
+    return 0
+
+
+def whole_until(path: str) -> int:
+    """Where a log's whole lines end now; 0 without a file."""
+    try:
+        with open(path, "rb") as f:
+            return last_line_end(f)
+    except FileNotFoundError:
+        return 0
+
+
 def follow(spark: SparkSession, path: str, start: str = "begin"):
     spark.dataSource.register(TailSource)
     return spark.readStream.format("tail").option("path", path).option("start", start).load()
