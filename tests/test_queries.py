@@ -23,3 +23,9 @@ def test_query_matches_sql(spark, data, name):
 
 def test_every_query_has_sql():
     assert set(Q.QUERIES) == set(Q.ORACLE_SQL)
+
+
+def test_entry_registers_queries():
+    import __spark_entry__ as entry
+
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
