@@ -28,4 +28,4 @@ def test_every_query_has_sql():
 def test_entry_registers_queries():
     import __spark_entry__ as entry
 
-    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(Q.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
