@@ -178,6 +178,21 @@ def test_bpe_of_very_long_words_and_texts(spark):
     assert got == {(i, len(x.ids), B.sha(np.array(x.ids, "<u4").tobytes()), B.sha(t.decode(x.ids, skip_special_tokens=False))) for (i, _), x in zip(docs, e)}
 
 
+def test_bpe_merges_many_words_as_one(monkeypatch):
+    t, rng = Tokenizer.from_file(tokenizer()), random.Random(3)
+    v = bpe.Vocabulary(tokenizer())
+    words = [b"", b"a", b" the", *("".join(rng.choices("etaoin é漢\x00", k=rng.randrange(1, 120))).encode() for _ in range(500))] * 2
+    monkeypatch.setattr(bpe, "SIDE", 64)
+    assert v.merge_all(words) == [np.array(v.merge(w), "<u4").tobytes() for w in words]
+    assert v.merge_all([]) == []
+    encode = bpe.encoder(v, bpe.Transducer.compile({b" the": v.merge(b" the")}))
+    texts = ["", " ", "\n \n", "x" * 300, *("".join(rng.choices([*map(chr, range(128)), " ", "'s", " the", *["é", "\x85", "\u3000", "漢"] * (k % 2)], k=80)) for k in range(400))]
+    monkeypatch.setattr(bpe, "GROUP", 999)
+    monkeypatch.setattr(bpe, "HELD", 500)  # what is held is forgotten again and again
+    got = [x for g in bpe.groups([None, *texts]) for x in encode(g)]
+    assert got == [b"", *(np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False))]
+
+
 def test_transducer():
     words = {b"card": [1], b"cart": [2, 3], b"art": [4], b"a": [5], b"dart": [7, 8, 9]}
     t = bpe.Transducer.compile(words).mapped()

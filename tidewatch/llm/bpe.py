@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 import tempfile
 from collections import Counter
 from heapq import heapify, heappop, heappush
@@ -21,6 +22,8 @@ from .common import batch
 FREQUENT = 200_000  # a word is frequent if at least one of so many is that word: no more than so many can be
 LONG = 96  # bytes of a word from which its pairs are kept in a heap
 HELD = 400_000  # words that a task remembers before it starts anew
+GROUP = 1 << 20  # characters of texts whose unseen words are merged together, or one text if that is longer
+SIDE = 4096  # unseen words merged side by side
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,9 +52,17 @@ class Vocabulary:
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.merges = [(self.ids[raw(a)], self.ids[raw(b)], self.ids[raw(a) + raw(b)]) for a, b in merges]
         self.ranks = {(a, b): i for i, (a, b, _) in enumerate(self.merges)}
+        # the same as arrays: sorted keys of pairs with their ranks, what a pair of each rank becomes, ranks of two bytes
+        left, right, self.becomes = np.array(self.merges, np.int64).reshape(-1, 3).T
+        order = np.argsort(left << 32 | right)
+        self.pair_keys, self.pair_ranks = np.append((left << 32 | right)[order], -1), np.append(order, len(order))
+        self.byte_id_array = np.array(self.byte_ids, np.int64)
+        self.byte_ranks = self.rank_all(np.repeat(self.byte_id_array, 256), np.tile(self.byte_id_array, 256)).reshape(256, 256)
         self.text_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
         # contractions; letters, digits or other signs after an optional space; white space
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        # the same for ASCII texts
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -96,6 +107,60 @@ class Vocabulary:
                     heappush(heap, (x, i))
         return [p for p in parts if p >= 0]
 
+    def words(self, text: str) -> list[str]:
+        return (self.plain if text.isascii() else self.pattern).findall(text)
+
+    def rank_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of ids; the number of merges where there is none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys[:-1], key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.merges))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """merge() of many words side by side, as little-endian unsigned 32-bit integers; those of like length go together."""
+        rank, none = self.rank_all, len(self.merges)
+        out: list[bytes] = [b""] * len(words)
+        short = []
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = np.array(self.merge_long(w), "<u4").tobytes()
+            else:
+                short.append(i)
+        short.sort(key=lambda i: len(words[i]))
+        for at in range(0, len(short), SIDE):
+            ids = np.array(short[at : at + SIDE])
+            left = np.array([len(words[i]) for i in ids])  # parts of each word
+            wide = int(left[-1])
+            raw = np.frombuffer(b"".join([words[i].ljust(wide, b"\0") for i in ids]), np.uint8).reshape(-1, wide)
+            parts, ranks = self.byte_id_array[raw], self.byte_ranks[raw[:, :-1], raw[:, 1:]]
+            ranks[np.arange(1, wide) >= left[:, None]] = none
+            while len(ids):
+                best = ranks.min(1, initial=none)
+                over = best == none
+                if over.any():
+                    rows, size = parts[over].astype("<u4").tobytes(), parts.shape[1] * 4
+                    for k, (i, n) in enumerate(zip(ids[over].tolist(), left[over].tolist())):
+                        out[i] = rows[k * size : k * size + n * 4]
+                    go = ~over
+                    ids, left, parts, ranks, best = ids[go], left[go], parts[go], ranks[go], best[go]
+                    if not len(ids):
+                        break
+                row, i = np.arange(len(ids)), ranks.argmin(1)  # the leftmost of the lowest rank
+                new = self.becomes[best]
+                keep = np.ones(parts.shape, bool)
+                keep[row, i + 1] = False
+                parts[row, i] = new
+                parts = parts[keep].reshape(len(ids), -1)
+                keep = np.ones(ranks.shape, bool)
+                keep[row, i] = False
+                ranks = ranks[keep].reshape(len(ids), -1)
+                left -= 1
+                a = np.flatnonzero(i > 0)
+                ranks[a, i[a] - 1] = rank(parts[a, i[a] - 1], new[a])
+                b = np.flatnonzero(i + 1 < left)
+                ranks[b, i[b]] = rank(new[b], parts[b, i[b] + 1])
+        return out
+
     def pieces(self, text: str):
         """(is special, string): the text cut at special tokens."""
         if not self.cut or not any(s in text for s in self.special):
@@ -115,13 +180,12 @@ class Transducer:
 
     def __init__(self, data: bytes):
         self.data = data
-        head = np.frombuffer(data, np.int64, 5)
-        at, parts = 40, []
-        for n, kind in zip(head.tolist(), (np.int32, np.uint8, np.int32, np.int32, np.int32)):
-            parts.append(np.frombuffer(data, kind, n, at))
-            at += -(-n * np.dtype(kind).itemsize // 8) * 8
-        self.first, self.byte, self.target, self.before, self.out = parts
-        self.out_at = np.frombuffer(data, np.int32, (len(data) - at) // 4, at)
+        view, at, parts = memoryview(data), 40, []
+        for n, kind, wide in zip(view[:40].cast("q").tolist(), "iBiii", (4, 1, 4, 4, 4)):
+            parts.append(view[at : at + n * wide].cast(kind))
+            at += -(-n * wide // 8) * 8
+        self.first, self.byte, self.target, self.before, self.out = parts  # of a view, one number is read faster than of an array
+        self.out_at = view[at:].cast("i")
         self.labels = self.byte.tobytes()
 
     @classmethod
@@ -187,16 +251,16 @@ class Transducer:
         return Transducer, (bytes(self.data),)
 
     def get(self, word: bytes) -> list[int] | None:
-        state, number, final = 0, 0, False
+        first, find, before, target = self.first, self.labels.find, self.before, self.target
+        number, t = 0, 0  # a target is twice a state, and one more if a word ends there
         for b in word:
-            s, e = int(self.first[state]), int(self.first[state + 1])
-            arc = self.labels.find(b, s, e)
+            state = t >> 1
+            arc = find(b, first[state], first[state + 1])
             if arc < 0:
                 return None
-            number += int(self.before[arc])
-            t = int(self.target[arc])
-            state, final = t >> 1, bool(t & 1)
-        if not final:
+            number += before[arc]
+            t = target[arc]
+        if not t & 1:
             return None
         return self.out[self.out_at[number] : self.out_at[number + 1]].tolist()
 
@@ -214,7 +278,7 @@ def frequent_words(texts: DataFrame, vocabulary: Vocabulary, one_of: int) -> lis
             for x in b.column(0).to_pylist():
                 for special, s in vocabulary.pieces(x or ""):
                     if not special:
-                        seen.update(vocabulary.pattern.findall(s))
+                        seen.update(vocabulary.words(s))
             if len(seen) > HELD:
                 yield partial()
                 seen = Counter()
@@ -228,36 +292,59 @@ def frequent_words(texts: DataFrame, vocabulary: Vocabulary, one_of: int) -> lis
 
 
 def encoder(vocabulary: Vocabulary, lexicon: Transducer):
-    """text -> ids as little-endian unsigned 32-bit integers."""
+    """texts -> for each its ids as little-endian unsigned 32-bit integers. What the lexicon lacks is merged, all texts at once."""
     held: dict[str, bytes] = {}
     mapped = lexicon.mapped()
 
-    def one(word: str) -> bytes:
-        raw = word.encode()
-        ids = mapped.get(raw)
-        if ids is None:
-            ids = vocabulary.merge(raw)
-        out = b"".join([i.to_bytes(4, "little") for i in ids])
-        if len(held) >= HELD:
+    def learn(words: set[str]) -> None:
+        new = words - held.keys()
+        if len(held) + len(new) > HELD:
             held.clear()
-        held[word] = out
-        return out
-
-    def encode(text: str) -> bytes:
-        out: list[bytes] = []
-        for special, s in vocabulary.pieces(text):
-            if special:
-                out.append(np.array([vocabulary.special[s]], "<u4").tobytes())
-                continue
-            if vocabulary.prefix_space and not s[0].isspace():
-                s = " " + s
-            get = held.get
-            out += [get(w) or one(w) for w in vocabulary.pattern.findall(s)]
-        return b"".join(out)
+            new = words
+        unseen = []
+        for word in new:
+            ids = mapped.get(word.encode())
+            if ids is None:
+                unseen.append(word)
+            else:
+                held[word] = b"".join([i.to_bytes(4, "little") for i in ids])
+        held.update(zip(unseen, vocabulary.merge_all([w.encode() for w in unseen])))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        rows: list[list] = []
+        words: set[str] = set()
+        for text in texts:
+            row: list = []
+            for special, s in vocabulary.pieces(text):
+                if special:
+                    row.append(vocabulary.special[s].to_bytes(4, "little"))
+                    continue
+                if s and vocabulary.prefix_space and not s[0].isspace():
+                    s = " " + s
+                found = vocabulary.words(s)
+                words.update(found)
+                row.append(found)
+            rows.append(row)
+        learn(words)
+        get = held.__getitem__
+        return [b"".join([x if isinstance(x, bytes) else b"".join(map(get, x)) for x in row]) for row in rows]
 
     return encode
 
 
+def groups(texts):
+    """The texts, null as empty, in lists of about GROUP characters."""
+    group, size = [], 0
+    for x in texts:
+        group.append(x or "")
+        size += len(group[-1])
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def prepare(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT, text_col: str = "text"):
     """(vocabulary, lexicon) for these documents, as one broadcast of a few MB: it holds `one_of` words at most."""
     vocabulary = Vocabulary(tokenizer)
@@ -279,7 +366,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT, id
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 cut = b.slice(at, 256)
-                ids = [np.frombuffer(encode(x or ""), "<u4") for x in cut.column(1).to_pylist()]
+                ids = [np.frombuffer(x, "<u4") for g in groups(cut.column(1).to_pylist()) for x in encode(g)]
                 text = [b"".join([back[i] for i in x.tolist()]).decode("utf-8", "replace") for x in ids]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
                 values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
@@ -300,8 +387,7 @@ def digests(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT) -> DataFram
         encode, back = encoder(vocabulary, lexicon), vocabulary.text_of
         for b in batches:
             n, a, c = [], [], []
-            for x in b.column(1).to_pylist():
-                ids = encode(x or "")
+            for ids in (x for g in groups(b.column(1).to_pylist()) for x in encode(g)):
                 text = b"".join([back[i] for i in np.frombuffer(ids, "<u4").tolist()])
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
