@@ -20,7 +20,7 @@ from .common import batch
 BLOCK = 8192  # rows of a block
 ANCHORS = 1 << 14  # anchors sent to the tasks at once, some 8 MB; more go through part by part
 TILE = 1 << 21  # scores computed at once
-FIRST = 8  # depth of the first look into the lists of a block, where a window holds no k-th score yet
+FIRST = 8  # depth of the first look into the lists of a block
 DENSE = 0.25  # an anchor that must reach more of a block than this scores it in one product
 NONE = np.iinfo(np.int64).min
 
@@ -113,14 +113,15 @@ class Block:
         threshold += 1e-9 * (best.up @ np.abs(self.high).T - best.down @ np.abs(self.low).T) + 0.5
         going = np.flatnonzero(threshold[:, 0] >= best.bound)
         new = best.bound[going] == NONE
-        if new.any() and len(self.depths) > 2 and FIRST * wide <= DENSE * n:
-            # some windows hold no k-th score yet: a first look gives them one
-            looked = going[new]
+        looked, going = going[new], going[~new]
+        level, since = 1, 0
+        while len(looked):  # some windows hold no k-th score yet: deeper and deeper looks give them one
+            if level >= len(self.depths) or (self.depths[level] + 1) * wide > DENSE * n:
+                self._rest(best, looked, threshold, ids, since)
+                break
             for some in _tiles(looked, n):
-                self._reached(best, some, FIRST, ids, 0)
-            looked = looked[threshold[looked, 1] >= best.bound[looked]]
-            self._rest(best, looked, threshold, ids, FIRST)
-            going = going[~new]
+                self._reached(best, some, int(self.depths[level]) + 1, ids, since)
+            looked, since, level = looked[threshold[looked, level] >= best.bound[looked]], int(self.depths[level]) + 1, level + 2
         self._rest(best, going, threshold, ids, 0)
 
     def _rest(self, best: Best, going: np.ndarray, threshold: np.ndarray, ids: np.ndarray, since: int) -> None:
