@@ -394,4 +394,4 @@ def digests(docs: DataFrame, tokenizer: str, one_of: int = FREQUENT) -> DataFram
                 c.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
             yield batch(doc_id=b.column(0), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(a, pa.string()), decoded_sha256=pa.array(c, pa.string()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -305,39 +305,21 @@ def joined(runs, length: int) -> list[tuple[int, int]]:
     return [(f, l + length) for f, l in out]
 
 
-def strip_repeats(docs: DataFrame, length: int = 400, passage: int = 300) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, n_passage, kept binary): each text without the bytes that repeated strings cover.
+def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes that repeated strings cover.
 
     Matches never cross documents; the input alone decides. Null texts are empty; texts shorter than `length` stay whole.
     Every row counts as a document, whether its id is null or repeated; a row that occurs twice is repeated as a whole. No
-    documents: no rows. Other columns are not read. n_passage counts the bytes of repeated strings of `passage` bytes, which
-    stay: passages too short to be removed (50 words are some 320 bytes). `passage` is `length` at most: what repeats over
-    `length` bytes lies in runs of what repeats over `passage`, so only these runs are searched again.
+    documents: no rows. Other columns are not read.
     """
     keys = ["doc_id", "h"]
     own = _keyed(docs, "doc_id", "text", F.col("doc_id").cast("long").alias("id"))
-    short = repeats(own.select(*keys, "t"), passage)
-
-    def slices(batches):
-        for b in batches:
-            cols: dict[str, list] = {k: [] for k in ("doc_id", "h", "at", "t")}
-            for i, h, x, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blobs(b.column(2)), b.column(3).to_pylist()):
-                for f, e in joined(((y["first"], y["last"]) for y in r), passage):
-                    if e - f >= length:
-                        for k, v in zip(cols, (i, h, f, x[f:e])):
-                            cols[k].append(v)
-            yield batch(**{k: pa.array(v, pa.binary() if k == "t" else pa.int64()) for k, v in cols.items()})
-
-    runs = lambda r: r.groupBy(*keys).agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # noqa: E731  of one text
-    # equal rows give equal slices, each once more for every such row: as many times as their strings occur
-    again = stored(own.select(*keys, "t").join(runs(short), keys).mapInArrow(slices, "doc_id long, h long, at long, t binary"))
-    long = repeats(again, length).select(*keys, (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last"))
-    both = runs(long).join(runs(short).withColumnRenamed("runs", "short"), keys, "full")
+    runs = repeats(own.select(*keys, "t"), length).groupBy(*keys).agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # of one text
 
     def run(batches):
         for b in batches:
-            n, removed, spans, passages, kept = [], [], [], [], []
-            for x, r, s in zip(blobs(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            n, removed, spans, kept = [], [], [], []
+            for x, r in zip(blobs(b.column(1)), b.column(2).to_pylist()):
                 found, out, at = [], [], 0
                 for f, e in joined(((y["first"], y["last"]) for y in r or ()), length):
                     if found and f <= found[-1][1]:  # windows that overlap or touch are one span
@@ -348,14 +330,10 @@ def strip_repeats(docs: DataFrame, length: int = 400, passage: int = 300) -> Dat
                     out.append(x[at:f])
                     at = e
                 out.append(x[at:])
-                reach = covered = 0
-                for f, e in joined(((y["first"], y["last"]) for y in s or ()), passage):
-                    covered, reach = covered + e - max(f, reach), e
                 n.append(len(x))
                 removed.append(sum(e - f for f, e in found))
                 spans.append(len(found))
-                passages.append(covered)
                 kept.append(b"".join(out))
-            yield batch(doc_id=b.column(0), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), n_passage=pa.array(passages, pa.int64()), kept=pa.array(kept, pa.binary()))
+            yield batch(doc_id=b.column(0), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), kept=pa.array(kept, pa.binary()))
 
-    return own.join(both, keys, "left").select("id", "t", "runs", "short").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_passage long, kept binary")
+    return own.join(runs, keys, "left").select("id", "t", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

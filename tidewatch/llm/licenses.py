@@ -178,4 +178,4 @@ def license_labels(docs: DataFrame, templates: dict = TEMPLATES) -> DataFrame:
             )
 
     kind = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t")).mapInArrow(run, kind)

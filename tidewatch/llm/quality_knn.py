@@ -77,7 +77,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space | N
     different texts of one id the one whose terms are smallest.
     """
     marked = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    marked = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    marked = marked.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most `sample` rows of two numbers: small whatever the input, so it may be broadcast
     picked = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("t")).join(F.broadcast(marked), F.col("doc_id") == F.col("_id")).select("_id", "t", "_q")
 
@@ -126,7 +126,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
             yield batch(doc_id=b.column(0), held_out=b.column(1), score=pa.array(s), predicted=pa.array((s >= threshold).astype(np.int32)))
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("h"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), held.alias("h"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:

@@ -30,7 +30,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(spark))
+    weights = url_filter.train(spark)
+    return url_filter.judge(table(spark, sf_dir, "pages"), weights, url_filter.held_out_cut(spark, weights))
 
 
 def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bwt_repeats.strip_repeats(table(spark, sf_dir, "documents"), 400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

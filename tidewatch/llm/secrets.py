@@ -21,42 +21,58 @@ HEX_LONG = re.compile(r"[0-9a-f]{24,}")  # the same runs as HEX, of 24 character
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")  # shorter strings are too few characters for a ratio to tell
-FALSE = 0.001  # share of held-out ordinary strings that may score the margin or more
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{12,64}+(?![A-Za-z0-9+/_=-])"  # candidates that are letters only
+WORDS = 20_000  # words of the documents that the ordinary model learns from and is held against
+FALSE = 0.0001  # share of held-out ordinary strings that may score the margin or more
+ODDS = 10.0  # least margin: natural logarithm of how many ordinary strings there are for one random one
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
-# parts that the ordinary identifiers of the training sample are put together from
-PARTS = (
-    "get set user name file path data value index count total first last next page item list map key node tree load save read write open close start stop"
-    " config option default update delete insert select table column row time date year month day hour test case build main class method return result"
-    " error message handler request response server client session connection buffer stream reader writer parser format string number integer double"
-    " account order product customer address street number phone email content title header footer image color width height left right top bottom"
-    " international administration information development understanding responsibility communication organization environmental transformation"
-).split()
-
-
-def labelled_samples(n: int = 1200) -> list[tuple[str, int]]:
-    """(string, 1 if random): both made by a rule, so that they are the same everywhere. Strings have 12 to 43 characters.
-
-    Random ones are digests written in four alphabets; ordinary ones are words joined as identifiers, paths, dates and versions.
+# words of several languages that the ordinary strings of the training sample are put together from
+PARTS = [x.split() for x in (
+    "get set user name file path data value index count total first last item list map key node tree load save read write open close start stop config option default update delete insert select table column date"
+    " test case build class method return result error message handler request response server client session connection buffer stream address international administration information development responsibility"
+    " people water house world school street family country mother father friend music summer spring river mountain forest animal flower bread butter sugar coffee dinner kitchen table chair letter paper pencil picture"
+    " village castle bridge harbour engine travel ticket doctor lawyer farmer soldier worker teacher student nothing something everything between without through against because before behind whether",
+    "Anfang Arbeit Ausland Bericht Bildung Donau Dampf Schiff Fahrt Gesellschaft Entwicklung Erfahrung Forschung Geschichte Gemeinde Gesundheit Haushalt Jahrhundert Krankheit Landwirtschaft Leistung Regierung"
+    " Rechnung Schreiben Sicherheit Verfahren Verantwortung Verwaltung Versicherung Wirtschaft Wissenschaft Zusammenhang Zeitung zwischen",
+    "administration beaucoup changement connaissance construction developpement enseignement entreprise environnement evenement gouvernement heureusement internationale longtemps maintenant mouvement naturellement"
+    " particulier population quelquefois recherche renseignement responsable souvent toujours travailler utilisation vraiment",
+    "actividad administracion aprendizaje ayuntamiento ciudadano comunicacion conocimiento crecimiento desarrollo educacion empresa entonces establecimiento experiencia funcionamiento gobierno habitantes importante"
+    " investigacion naturaleza necesidad poblacion pensamiento presidente produccion relaciones siguiente trabajador universidad",
+)]
+
+
+def labelled_samples(n: int = 1500) -> list[tuple[str, int]]:
+    """(string, 1 if random): both made by a rule, so that they are the same everywhere. Random strings have 12 to 43 characters.
+
+    Random ones are digests written in four alphabets; ordinary ones are words of one language joined as identifiers, compounds,
+    paths, dates and versions, and plain numbers.
     """
     out = []
     for i in range(n):
         h = hashlib.sha512(f"sample {i}".encode()).digest()
-        size = 12 + i % 32
+        size, number = 12 + i % 32, h[5]
         out += [(x[:size], 1) for x in (h.hex(), base64.b64encode(h).decode(), base64.b32encode(h).decode(), base64.urlsafe_b64encode(h).decode())]
-        a, number = [PARTS[b % len(PARTS)] for b in h[:4]], h[5]
-        out += [(x, 0) for x in (
-            "_".join(a), a[0] + "".join(x.title() for x in a[1:]), "".join(x.title() for x in a[:3]) + str(number % 10), "-".join(a[:3]) + f"-{number}", "/" + "/".join(a) + f"/{1990 + number % 40}", "_".join(a).upper(),
-            "".join(a), f"{a[0]}-{1990 + number % 40}-{1 + number % 12:02}-{1 + number % 28:02}", f"{a[0]}/{a[1]}-{number % 9}-{number}-{i % 10}", f"{a[0].title()}{a[1].title()}V{number}",
-        ) if len(x) >= 12]
+        for words in PARTS:
+            a = [words[b % len(words)] for b in h[:4]]
+            out += [(x, 0) for x in (
+                "_".join(a), a[0].lower() + "".join(x.title() for x in a[1:]), "".join(x.title() for x in a[:3]), "-".join(a[:3]) + f"-{number}", "/" + "/".join(a) + f"/{1990 + number % 40}", "_".join(a).upper(), "".join(a).lower(), "".join(a[:2]).capitalize(), "-".join(a),
+                f"{a[0]}-{1990 + number % 40}-{1 + number % 12:02}-{1 + number % 28:02}", f"{a[0].title()}{a[1].title()}V{number}", str(int.from_bytes(h[:12], "big"))[: 12 + i % 9], "-".join(map(str, h[:5])),
+            ) if len(x) >= 12]
     return out
 
 
+def ordinary_words(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """Words of 12 to 64 letters that two rows or more hold, `most` of them at most, of least hash; all rows are read."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w")).groupBy("w").count().where("count > 1")
+    return [r.w for r in words.orderBy(F.xxhash64("w"), "w").limit(most).select("w").collect()]
+
+
 class Markov:
-    """First-order character models of the two kinds; score() is their mean log-likelihood ratio a character.
+    """First-order character models of the two kinds; score() is the log-likelihood ratio of a string.
 
-    They are trained from two in three samples; margin is set by the rest: as few of the ordinary strings as FALSE score so much.
-    recall is the share of the held-out random strings that do.
+    They are trained from two in three samples; margin is set by the rest: as few of the ordinary strings as FALSE score so much,
+    and it is ODDS at least. recall is the share of the held-out random strings that do.
     """
 
     def __init__(self, samples: list[tuple[str, int]]):
@@ -74,12 +90,17 @@ class Markov:
         p = counts / counts.sum(2, keepdims=True)
         self.ratio = np.log(p[1]) - np.log(p[0])
         held = [[self.score(text) for text, kind in samples[2::3] if kind == k] for k in (0, 1)]
-        self.margin = max(0.0, float(np.quantile(held[0], 1 - FALSE))) if held[0] else 0.0
+        self.margin = max(ODDS, float(np.quantile(held[0], 1 - FALSE))) if held[0] else ODDS
         self.recall = float(np.mean(np.array(held[1]) > self.margin)) if held[1] else 0.0
 
     def score(self, text: str) -> float:
         x = self.place[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-        return float(self.ratio[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0
+        return float(self.ratio[x[:-1], x[1:]].sum())
+
+
+def fitted(docs: DataFrame, samples: list[tuple[str, int]] | None = None) -> Markov:
+    """The models of these samples (None: labelled_samples() and the documents' own ordinary words)."""
+    return Markov(labelled_samples() + [(w, 0) for w in ordinary_words(docs)] if samples is None else samples)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -123,7 +144,7 @@ def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None)
     Null and empty texts have no spans. Rows that repeat, in id or text, each get a row; other columns are not read; no
     documents, no rows. Kind random is what the models add, of 12 characters or more and where no fixed form lies.
     """
-    model = Markov(samples or labelled_samples())
+    model = fitted(docs, samples)
 
     def run(batches):
         for b in batches:
@@ -134,7 +155,7 @@ def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None)
                 base_sha256=pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in got], pa.string()), spans=pa.array([written(every) for _, every in got], pa.string()),
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def masked(text: str, model: Markov) -> str:
@@ -152,7 +173,7 @@ def mask_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None)
     Null texts stay null; all other columns stay as they are; of spans that overlap the first is replaced, and the rest of the
     others goes with it.
     """
-    model = Markov(samples or labelled_samples())
+    model = fitted(docs, samples)
     names = docs.columns
 
     def run(batches):
