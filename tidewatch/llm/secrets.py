@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, discard, stored
 
 # fixed forms; kinds in the order in which equal starts are listed
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -65,7 +65,11 @@ def labelled_samples(n: int = 1500) -> list[tuple[str, int]]:
 def ordinary_words(docs: DataFrame, most: int = WORDS) -> list[str]:
     """Words of 12 to 64 letters that two rows or more hold, `most` of them at most, of least hash; all rows are read."""
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w")).groupBy("w").count().where("count > 1")
-    return [r.w for r in words.orderBy(F.xxhash64("w"), "w").limit(most).select("w").collect()]
+    words = stored(words.select("w", F.pmod(F.xxhash64("w"), F.lit(1 << 30)).alias("h")))
+    share = 2 * most / max(words.count(), 1)  # no task hands on many more than are taken
+    few = words.where(F.col("h") < min(1.0, share) * (1 << 30)).orderBy("h", "w").limit(most).collect()
+    discard(words)
+    return [r.w for r in few]
 
 
 class Markov:
