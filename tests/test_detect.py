@@ -5,7 +5,7 @@ import pytest
 from tidewatch.config import SECOND, BurstConfig, TriggerConfig
 from tidewatch.operators.bursts import bursts, events_of, first_crossings
 from tidewatch.operators.intel import enrich, intel_json, intel_line
-from tidewatch.operators.triggers import trailing_repeats, triggers
+from tidewatch.operators.triggers import cool_down, pointers, trailing_repeats, triggers
 
 SCHEMA = "source string, us long, user string, seq long, rep_idx long, rep_count long"
 ALERT = "source string, attempts long, first_us long, last_us long, users array<string>, severity string"
@@ -134,6 +134,45 @@ def test_triggers_at_random(spark):
         assert fire(spark, items, k, window, cooldown) == sorted(want)
 
 
+def greedy(times, cooldown):
+    out, last = [], None
+    for t in sorted(times):
+        if last is None or t - last >= cooldown:
+            out.append(t)
+            last = t
+    return out
+
+
+HIT = "source string, us long, kind int, seq long, rep_idx long, reason string"
+
+
+@pytest.mark.parametrize("size", [None, 100, 7])
+def test_cooldown_over_slices(spark, size):
+    """Dense and sparse hits, empty slices in between, times before 1970, ties; slices of any length."""
+    rng = random.Random(size)
+    times = {"dense": range(-50, 400), "sparse": range(0, 5000, 97), "mixed": [rng.randint(-900, 900) for _ in range(300)], "lone": [3], "steps": [k * 10 for k in range(60)], "far": [0, 4, 9, 10**6, 10**6 + 5, 10**6 + 12]}
+    rows = [(s, t, t % 2, n, 0, f"r{t % 3}") for s, ts in times.items() for n, t in enumerate(ts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, HIT)
+    for cooldown in (1, 10, 45):
+        got = cool_down(df, cooldown, size).collect()
+        assert {s: sorted(r.us for r in got if r.source == s) for s in times} == {s: greedy(set(ts), cooldown) for s, ts in times.items()}
+        assert all(r.reason == f"r{r.us % 3}" for r in got)
+    assert cool_down(df, 0).count() == cool_down(df, -5).count() == len(rows) and cool_down(df.limit(0), 10).count() == 0
+
+
+def test_cooldown_of_a_million_hits_of_one_source(spark):
+    """One source, a hit a second: pointers and rounds are dealt by slice and instant, so every task has its share."""
+    hits = spark.range(1_000_000).selectExpr("'s' as source", "id * 1000000 + pmod(id * 7919, 1000) as us", "0 as kind", "id as seq", "0L as rep_idx", "'x' as reason")
+    cooldown = 3600 * SECOND
+    plan = pointers(hits.select("source", "us", "reason"), cooldown)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "slice" in plan
+    slices = hits.selectExpr(f"floor(us / {16 * cooldown}) as slice").groupBy("slice").count().agg({"count": "max"}).first()[0]
+    assert slices < 100_000
+    got = [r.us for r in cool_down(hits, cooldown, 16 * cooldown).orderBy("us").collect()]
+    assert got == greedy([i * 1_000_000 + i * 7919 % 1000 for i in range(1_000_000)], cooldown)
+
+
 def test_intel(spark):
     t = spark.createDataFrame([("a", 0, "repeat_offender"), ("b", 0, "critical_severity")], "source string, us long, reason string")
     reg = spark.createDataFrame([("a", 'Big "Net"', "")], "ip string, org string, network string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import TriggerConfig
 from ..functions.scalars import DAY
+from ..sources.stored import discard, stored
 
 REPEAT, CRITICAL = "repeat_offender", "critical_severity"
 
@@ -36,26 +37,54 @@ def candidates(events: DataFrame, alerts: DataFrame, config: TriggerConfig = Tri
     return repeats.unionByName(critical)
 
 
-def cool_down(hits: DataFrame, cooldown: int) -> DataFrame:
+def pointers(hits: DataFrame, cooldown: int, slice_us: int | None = None) -> DataFrame:
+    """(source, us, reason, root, next) of hits, of which a source has one an instant.
+
+    root: the hit before it, if any, is a cooldown or more away, so it fires whatever was before. next: the first hit a cooldown
+    or more later, unless that is a root. Both are found within slices of time of a source; a slice only needs to know the last
+    time before it and the first one after it.
+    """
+    size = max(slice_us or max(DAY, 16 * cooldown), cooldown)
+    own = hits.select("source", "us", "reason", F.floor(F.col("us") / size).alias("slice"))
+    ends = own.groupBy("source", "slice").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    w = W.partitionBy("source").orderBy("slice")  # a row per slice that has hits
+    after = F.struct(F.lead("first").over(w).alias("us"), (F.lead("first").over(w) - F.col("last") >= cooldown).alias("root"))
+    known = ends.select("source", "slice", F.lag("last").over(w).alias("before"), F.when(after["us"].isNotNull(), after).alias("after"))
+    back = F.coalesce(F.lag("us").over(W.partitionBy("source", "slice").orderBy("us")), F.col("before"))
+    rooted = own.join(known, ["source", "slice"]).withColumn("root", F.coalesce(F.col("us") - back >= cooldown, F.lit(True)))
+    # each hit asks at its own time plus a cooldown, in the slice where that lies
+    at = F.col("us") + cooldown
+    asked = F.explode(F.array(
+        F.struct("slice", F.col("us").alias("at"), F.lit(0).alias("asks"), F.struct("us", "root").alias("hit"), "after"),
+        F.struct(F.floor(at / size).alias("slice"), at.alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("struct<us:bigint,root:boolean>").alias("hit"), F.lit(None).cast("struct<us:bigint,root:boolean>").alias("after")),
+    ))
+    both = rooted.select("source", "us", "reason", "root", F.col("after").alias("otherwise"), asked.alias("a")).select("source", "us", "reason", "root", "otherwise", "a.*")
+    later = F.min("hit").over(W.partitionBy("source", "slice").orderBy(F.col("at").desc(), "asks").rowsBetween(W.unboundedPreceding, W.currentRow))
+    beyond = F.max("after").over(W.partitionBy("source", "slice"))
+    found = both.withColumn("next", F.coalesce(later, beyond, F.when(F.col("otherwise.us") >= F.col("at"), F.col("otherwise")))).where("asks = 1")
+    return found.select("source", "us", "reason", "root", F.when(~F.col("next.root"), F.col("next.us")).alias("next"))
+
+
+def cool_down(hits: DataFrame, cooldown: int, slice_us: int | None = None) -> DataFrame:
     """(source, us, reason) of the hits that fire: each at least `cooldown` after the last that fired, in greedy order.
 
-    Hits of one source closer than the cooldown to one that has fired are lost anyway, so first one hit is kept for each
-    source and stretch of equal instants. A hit that comes a cooldown or more after the one before it always fires, so
-    runs of closer hits are folded on their own, each as a sorted array.
+    Of a source's hits of one instant the first can fire. A hit points at the first one a cooldown or more later, which is the next
+    to fire if it fires itself. Roots fire; from then on pointers are doubled: what the fired hits point at fires, and each pointer
+    goes on to where the hit it points at points, so that r rounds reach 2**r hits of a run. Rows are joined by source and instant,
+    so that one busy source is dealt to every task. A cooldown of 0 or less lets all hits fire.
     """
-    order = F.struct("us", "kind", "seq", "rep_idx", "reason")
-    if cooldown > 0:  # of one instant only the first can fire
-        hits = hits.groupBy("source", "us").agg(F.min(order).alias("h")).select("source", "h.*")
-    late = F.col("us") - F.lag("us").over(W.partitionBy("source").orderBy("us", "kind", "seq", "rep_idx")) >= cooldown
-    runs = hits.withColumn("late", F.coalesce(late, F.lit(True))).withColumn("run", F.sum(F.col("late").cast("long")).over(W.partitionBy("source").orderBy("us", "kind", "seq", "rep_idx")))
-    rows = runs.groupBy("source", "run").agg(F.sort_array(F.collect_list(F.struct("us", "kind", "seq", "rep_idx", "reason"))).alias("hs"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<us:bigint,reason:string>>").alias("out"))
-    fold = F.aggregate(
-        "hs", start,
-        lambda s, h: F.when(s["last"].isNull() | (h["us"] - s["last"] >= cooldown), F.struct(h["us"].alias("last"), F.concat(s["out"], F.array(F.struct(h["us"].alias("us"), h["reason"].alias("reason")))).alias("out"))).otherwise(s),
-        lambda s: s["out"],
-    )
-    return rows.select("source", F.explode(fold).alias("f")).select("source", "f.us", "f.reason")
+    if cooldown <= 0:
+        return hits.select("source", "us", "reason")
+    one = hits.groupBy("source", "us").agg(F.min(F.struct("kind", "seq", "rep_idx", "reason")).alias("h")).select("source", "us", F.col("h.reason").alias("reason"))
+    linked = stored(pointers(one, cooldown, slice_us))
+    fired = linked.where("root").select("source", "us")
+    jumps, old = linked.where("next is not null").select("source", "us", "next"), []
+    while not jumps.isEmpty():
+        reached = fired.join(jumps, ["source", "us"]).select("source", F.col("next").alias("us"))
+        fired, jumps = stored(fired.unionByName(reached)), stored(jumps.join(jumps.select("source", F.col("us").alias("next"), F.col("next").alias("far")), ["source", "next"]).select("source", "us", F.col("far").alias("next")))
+        discard(*old)
+        old = [fired, jumps]
+    return linked.join(fired, ["source", "us"], "left_semi").select("source", "us", "reason")
 
 
 def triggers(events: DataFrame, alerts: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
