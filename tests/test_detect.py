@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tidewatch.config import SECOND, BurstConfig, TriggerConfig
-from tidewatch.operators.bursts import bursts, events_of, first_crossings
+from tidewatch.operators.bursts import bursts, events_of, first_crossings, fragments, slice_of
 from tidewatch.operators.intel import enrich, intel_json, intel_line
 from tidewatch.operators.triggers import cool_down, pointers, trailing_repeats, triggers
 
@@ -66,6 +66,31 @@ def test_bursts_at_random_and_across_slices(spark, seed):
             assert found(first_crossings(events(spark, rows), cfg(threshold, window), slice_us=size)) == model(rows, threshold, window, live=True)
 
 
+@pytest.mark.parametrize("size", [20, 45])
+def test_chains_over_levels_of_slices(spark, monkeypatch, size):
+    """Chains as long as many slices and lone events, of a source without a name as well; slices meet three by three."""
+    monkeypatch.setattr("tidewatch.operators.bursts.LEVEL", 3)
+    rng = random.Random(size)
+    rows = [("", t, "a") for t in range(-400, 900, 7)] + [("lone", t, rng.choice("abc")) for t in range(0, 4000, 30)] + [("gaps", t + g, "x") for g in (0, 500, 505, 1300) for t in range(0, 300, 9)]
+    rows = sorted(rows + [("any", rng.randint(0, 3000), rng.choice(["", "u", "v"])) for _ in range(250)], key=lambda r: r[1])
+    for threshold, window in ((1, 10), (5, 8), (2, 0)):
+        assert found(bursts(events(spark, rows), cfg(threshold, window), slice_us=size * SECOND)) == model(rows, threshold, window)
+        assert found(first_crossings(events(spark, rows), cfg(threshold, window), slice_us=size * SECOND)) == model(rows, threshold, window, live=True)
+
+
+def test_few_parts_of_a_source_meet(spark):
+    """A source of 100,000 lone events: those inside a slice are whole, so that no step sees them together."""
+    df = spark.range(100_000).selectExpr("'' as source", "id * 120000000 as us", "'' as user", "id as seq", "0L as rep_idx", "1L as rep_count")
+    out = bursts(df, cfg(1, 60))
+    assert out.count() == 100_000
+    node = out._jdf.queryExecution().executedPlan().toString()
+    assert node.count("Window") >= 3
+    parts = fragments(df, 60 * SECOND, slice_of(cfg(1, 60), None))
+    size = 16 * 60 * SECOND
+    steps = parts.where(f"not (pmod(first, {size}) > {60 * SECOND} and {size} - pmod(last, {size}) > {60 * SECOND})").count()
+    assert steps < 100_000 / 4
+
+
 def test_trailing_repeats_across_slices(spark):
     rng = random.Random(5)
     rows = [(f"s{rng.randint(0, 2)}", rng.randint(-300, 900), "") for _ in range(300)]

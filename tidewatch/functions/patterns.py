@@ -6,14 +6,9 @@ Fixed values: the wording of the two daemons. White space is spelled out, becaus
 
 WS = r"[\t\n\f\r ]"
 NS = r"[^\t\n\f\r ]"
-STAMP = rf"([A-Za-z]{{3}}){WS}+([0-9]{{1,2}}){WS}+([0-9]{{2}}):([0-9]{{2}}):([0-9]{{2}})"
-HEAD = rf"(?d)^({STAMP}){WS}+{NS}+{WS}+"  # groups: 1 stamp, 2 month, 3 day, 4 hour, 5 minute, 6 second
+STAMP = r"[A-Za-z]{3} +[0-9]{1,2} +[0-9]{2}:[0-9]{2}:[0-9]{2}"
+PREFIX = rf"^{STAMP}{WS}+{NS}+{WS}+sshd(?:\(pam_unix\))?\[[0-9]+\]:{WS}+"  # stamp, host, daemon: five words
 
-PAM_TEXT = rf"authentication failure;.*?\brhost=({NS}+?)(?:{WS}+user=({NS}+))?{WS}*\z"  # source, user
-SSH_TEXT = rf"Failed password for (?:invalid user{WS}+)?({NS}+) from ({NS}+) port [0-9]+ ssh2{WS}*\z"  # user, source
-
-PAM = HEAD + rf"sshd\(pam_unix\)\[[0-9]+\]:{WS}+" + PAM_TEXT
-SSH = HEAD + rf"sshd\[[0-9]+\]:{WS}+" + SSH_TEXT
-REPEATED = HEAD + rf"sshd(?:\(pam_unix\))?\[[0-9]+\]:{WS}+message repeated ([0-9]+) times:{WS}+\[{WS}*(.+?){WS}*\]{WS}*\z"  # 7 count, 8 inner
-PAM_BODY = "(?d)^" + PAM_TEXT
-SSH_BODY = "(?d)^" + SSH_TEXT
+PAM = rf"(?d)^authentication failure;.*?\brhost=({NS}+?)(?:{WS}+user=({NS}+))?{WS}*\z"  # source, user
+SSH = rf"(?d)^Failed password for (?:invalid user{WS}+)?({NS}+) from ({NS}+) port [0-9]+ ssh2{WS}*\z"  # user, source
+REPEATED = rf"(?d)^message repeated ([0-9]+) times:{WS}+\[{WS}*(.+?){WS}*\]{WS}*\z"  # count, inner

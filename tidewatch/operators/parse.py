@@ -24,28 +24,30 @@ def parse_lines(lines: DataFrame, order: tuple[str, ...] = ("block_start", "line
     A repeat envelope gives one row whose rep_count is N. The first form that matches and has a date wins. Control
     characters go from source and user; raw stays as read. Null lines match nothing.
     """
-    v = F.col("value")
+    names = ("day", "hour", "minute", "second")
+    v, one = F.col("value"), F.lit(1).cast("long")
     near = lines.where(v.contains("authentication failure") | v.contains("Failed password"))
-    names = ("stamp", "month_name", "day", "hour", "minute", "second")
-    head = F.struct(*[F.regexp_extract(v, P.HEAD, i).alias(n) for i, n in enumerate(names, 1)], v.rlike(P.PAM).alias("pam"), v.rlike(P.SSH).alias("ssh"))
-    got = near.select(*order, "value", _once(head).alias("h"))
+    cut = near.select(*order, "value", _once(F.regexp_extract(v, P.PREFIX, 0)).alias("prefix")).where("prefix != ''")
+    words = cut.select(*order, "value", _once(F.struct(F.split("prefix", P.WS + "+").alias("w"), F.expr("substring(value, length(prefix) + 1)").alias("body"))).alias("p"))
     months = F.create_map(*[x for m, i in _MONTH.items() for x in (F.lit(m), F.lit(i))])
-    number = [F.col(f"h.{n}").try_cast("int").alias(n) for n in names[2:]]
-    dated = got.select(*order, "value", "h", F.try_element_at(months, F.lower("h.month_name")).alias("month"), *number)
+    at = lambda k: F.element_at("p.w", k)
+    number = [at(2).cast("int").alias("day"), *(F.substring(at(3), k, 2).cast("int").alias(n) for k, n in ((1, "hour"), (4, "minute"), (7, "second")))]
+    dated = words.select(*order, "value", F.col("p.body").alias("body"), at(5).startswith("sshd(pam_unix)").alias("pam"), F.try_element_at(months, F.lower(at(1))).alias("month"), *number)
     most = F.element_at(F.lit(list(_DAYS)), F.col("month"))
-    good = F.col("month").isNotNull() & F.col("day").between(1, most) & (F.col("hour") < 24) & (F.col("minute") < 60) & (F.col("second") < 60) & ~F.col("h.stamp").rlike(r"[\t\n\f\r]")
-    count, inner = F.regexp_extract(v, P.REPEATED, 7).try_cast("bigint"), F.regexp_extract(v, P.REPEATED, 8)
-
-    def pick(text: Column, pattern: str, source: int, user: int, n: Column) -> Column:
-        return F.struct(F.regexp_extract(text, pattern, source).alias("source"), F.regexp_extract(text, pattern, user).alias("user"), n.alias("rep_count"))
-
-    one = F.lit(1).cast("long")
-    whose = (
-        F.when(F.col("h.pam"), pick(v, P.PAM, 7, 8, one)).when(F.col("h.ssh"), pick(v, P.SSH, 8, 7, one))
-        .when(inner.rlike(P.PAM_BODY), pick(inner, P.PAM_BODY, 1, 2, count)).when(inner.rlike(P.SSH_BODY), pick(inner, P.SSH_BODY, 2, 1, count))
-    )
-    found = dated.where(good).select(*order, "month", *names[2:], _once(whose).alias("who"), v.alias("raw")).where(F.col("who.rep_count") > 0)
-    return found.select(*order, "month", *names[2:], clean(F.col("who.source")).alias("source"), clean(F.col("who.user")).alias("user"), "who.rep_count", "raw")
+    good = F.col("month").isNotNull() & F.col("day").between(1, most) & (F.col("hour") < 24) & (F.col("minute") < 60) & (F.col("second") < 60)
+    body, again = F.col("body"), F.col("body").startswith("message repeated ")
+    inner = F.when(again, F.regexp_extract(body, P.REPEATED, 2)).otherwise(body)
+    count = F.when(again, F.regexp_extract(body, P.REPEATED, 1).try_cast("bigint")).otherwise(one)
+
+    def pick(pattern: str, source: int, user: int) -> Column:
+        return F.struct(F.regexp_extract("inner", pattern, source).alias("source"), F.regexp_extract("inner", pattern, user).alias("user"))
+
+    # a form is tested by how it begins; what an envelope holds may be of either daemon
+    pam = F.col("inner").startswith("authentication failure;") & (F.col("pam") | again)
+    ssh = F.col("inner").startswith("Failed password for ") & (~F.col("pam") | again)
+    opened = dated.where(good).select(*order, "value", "body", "pam", "month", *names, _once(F.struct(inner.alias("inner"), count.alias("n"))).alias("o")).select("*", F.col("o.inner").alias("inner"), F.col("o.n").alias("rep_count"))
+    found = opened.where("rep_count > 0").select(*order, "month", *names, "rep_count", _once(F.when(pam, pick(P.PAM, 1, 2)).when(ssh, pick(P.SSH, 2, 1))).alias("who"), v.alias("raw")).where("who.source != ''")
+    return found.select(*order, "month", *names, clean(F.col("who.source")).alias("source"), clean(F.col("who.user")).alias("user"), "rep_count", "raw")
 
 
 def with_time(events: DataFrame, base_year: int = BASE_YEAR) -> DataFrame:
