@@ -1,10 +1,13 @@
+import json
 import os
+import random
 
 from tidewatch import cli
 from tidewatch.config import SECOND, BurstConfig, TriggerConfig
 from tidewatch.operators.bursts import first_crossings
 from tidewatch.plans.logs import log_events
 from tidewatch.sources.lines import read_lines
+from tidewatch.sources import tail
 from tidewatch.sources.tail import TailReader, follow
 from tidewatch.streaming.live import detect, live_events
 
@@ -14,8 +17,12 @@ def line(second, user="root", source="198.51.100.4"):
 
 
 def drain(reader, offset):
-    rows, end = reader.read(offset)
-    return [r[2] for r in rows], end
+    end = reader.latestOffset()
+    return texts(reader, offset, end), end
+
+
+def texts(reader, start, end):
+    return [x.decode() for p in reader.partitions(start, end) for b in reader.read(p) for x in b.column("value").to_pylist()]
 
 
 def test_tail_follows_appends_partial_lines_and_rotation(tmp_path):
@@ -42,8 +49,68 @@ def test_tail_follows_appends_partial_lines_and_rotation(tmp_path):
     p.write_text("longer than before\n")
     got, at2 = drain(r, at)
     assert got == ["longer than before"]
-    assert [x[2] for x in r.readBetweenOffsets(at, at2)] == got
+    assert texts(r, at, at2) == got
+    again = TailReader(str(p), "begin")  # a query that starts again has offsets, but a new reader
+    assert texts(again, at2, again.latestOffset()) == []
     assert TailReader(str(p), "end").initialOffset()["pos"] == p.stat().st_size
+    os.rename(p, tmp_path / "a.log.2")
+    p.write_text("other\n")
+    assert texts(r, at, at2) == []  # its file has gone: a warning, no end of the query
+
+
+def test_a_file_that_cannot_be_read_is_a_warning(tmp_path, capsys):
+    p = tmp_path / "a.log"
+    p.write_text("one\n")
+    r = TailReader(str(p), "begin")
+    got, at = drain(r, r.initialOffset())
+    os.rename(p, tmp_path / "kept")
+    p.mkdir()
+    assert drain(r, at)[0] == [] and "warning:" in capsys.readouterr().err
+    p.rmdir()
+    os.rename(tmp_path / "kept", p)
+    with p.open("a") as f:
+        f.write("two\n")
+    assert got == ["one"] and drain(r, at)[0] == ["two"]
+
+
+def test_ranges_give_every_line_once(tmp_path, monkeypatch):
+    rng = random.Random(6)
+    for trial in range(60):
+        monkeypatch.setattr(tail, "SPLIT", rng.randint(1, 40))
+        monkeypatch.setattr(tail, "BLOCK", rng.randint(1, 50))
+        data = b"".join(rng.choice([b"", b"x" * rng.randint(1, 90), b"ab\r", b"c\rd"]) + b"\n" for _ in range(rng.randint(0, 25))) + rng.choice([b"", b"tail"])
+        p = tmp_path / f"{trial}.log"
+        p.write_bytes(data)
+        for end in (None, tail.whole_until(str(p)), tail.last_line_end(p.open("rb"), len(data) // 2)):
+            reader = tail.LogReader(str(p), None if end is None else str(end))
+            got = [(i, x) for r in reader.partitions() for b in reader.read(r) for i, x in zip(b.column("line_id").to_pylist(), b.column("value").to_pylist())]
+            lines = data[:end].split(b"\n")
+            lines = lines[:-1] if end is not None or not lines[-1] else lines
+            assert [x for _, x in got] == [x.removesuffix(b"\r") for x in lines]
+            assert all(data[i:].startswith(x) and (i == 0 or data[i - 1 : i] == b"\n") for i, x in got)
+
+
+def test_each_line_is_shown_once_though_the_log_grows_during_the_scan(spark, tmp_path, capsys, monkeypatch):
+    """Lines of the new year come while the scan runs: the scan stops where following begins, and the year goes on from there."""
+    p = tmp_path / "auth.log"
+    p.write_text("".join(line(i, f"u{i}") for i in range(0, 10, 2)))
+    new = "".join(line(i, f"u{i}") for i in range(20, 30, 2)) + "".join(line(i, "v", "203.0.113.7").replace("Dec 31 23:59", "Jan  1 00:05") for i in range(0, 10, 2))
+    real = cli.scan_lines
+
+    def growing(*a, **k):
+        out = real(*a, **k)
+        with p.open("a") as f:
+            f.write(new)
+        return out
+
+    monkeypatch.setattr(cli, "scan_lines", growing)
+    q = cli.main(["-file", str(p), "-follow", "-json", "-checkpoint", str(tmp_path / "cp")], spark, wait=False)
+    q.processAllAvailable()
+    q.stop()
+    out = capsys.readouterr().out
+    scanned, live = out[: out.index("]\n") + 2], out[out.index("]\n") + 2 :].strip().splitlines()
+    assert [(a["Source"], a["Attempts"], a["LastSeen"]) for a in json.loads(scanned)] == [("198.51.100.4", 5, "0000-12-31T23:59:08Z")]
+    assert sorted((a["Source"], a["LastSeen"]) for a in map(json.loads, live)) == [("198.51.100.4", "0000-12-31T23:59:28Z"), ("203.0.113.7", "0001-01-01T00:05:08Z")]
 
 
 def test_stream_equals_replay(spark, tmp_path):

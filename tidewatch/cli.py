@@ -14,9 +14,9 @@ from . import render
 from .config import SECOND, BurstConfig, TriggerConfig
 from .operators import report
 from .operators.intel import enrich, intel_json, intel_line
-from .plans.logs import last_month, scan, scan_triggers
+from .plans.logs import last_month, scan_lines, scan_triggers
 from .sources.lines import read_lines
-from .sources.tail import follow, whole_until
+from .sources.tail import follow, read_until, whole_until
 from .streaming.live import detect, live_events, use_rocksdb
 
 _UNIT = {"ms": 1000, "s": SECOND, "m": 60 * SECOND, "h": 3600 * SECOND}
@@ -68,10 +68,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
     spark = spark or SparkSession.builder.appName("tidewatch").getOrCreate()
     burst, trigger = BurstConfig(a.threshold, a.window), TriggerConfig(a.cti_threshold, a.cti_window, a.cti_cooldown)
     colour = sys.stdout.isatty()
-    # where following begins: taken before the scan, so that no line falls between the two; one written meanwhile may show in both
+    # the scan ends where following begins, so that every line is read once, whatever is written meanwhile
     begin = whole_until(a.file) if a.follow else 0
+    lines = read_until(spark, a.file, begin, strict=True) if a.follow else read_lines(spark, a.file, strict=True)
     if not (a.follow and a.quiet_startup):
-        events, alerts = scan(spark, a.file, burst, strict=True)
+        events, alerts = scan_lines(lines, burst)
         alerts = alerts.cache()
         if a.json:
             print(render.json_array(alerts))
@@ -102,7 +103,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
             _notes(spark, found.where("kind = 'trigger'").select("source", "us", "reason"), a)
         found.unpersist()
 
-    writer = detect(live_events(follow(spark, a.file, str(begin)), last_month(read_lines(spark, a.file))), burst, trigger).writeStream.outputMode("append").foreachBatch(show)
+    writer = detect(live_events(follow(spark, a.file, str(begin)), last_month(lines)), burst, trigger).writeStream.outputMode("append").foreachBatch(show)
     query = (writer.option("checkpointLocation", a.checkpoint) if a.checkpoint else writer).start()
     if wait:
         signal.signal(signal.SIGTERM, lambda *_: query.stop())

@@ -22,10 +22,15 @@ def log_events(lines: DataFrame) -> DataFrame:
     return events_of(timed.withColumn("seq", F.col("line_id")), "source", "ts", "user", "seq")
 
 
+def scan_lines(lines: DataFrame, config: BurstConfig = BurstConfig()) -> tuple[DataFrame, DataFrame]:
+    """(events, alerts) of ordered lines."""
+    events = log_events(lines)
+    return events, bursts(events, config)
+
+
 def scan(spark: SparkSession, path: str, config: BurstConfig = BurstConfig(), strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, alerts) of a log file, or of several that each have their own years. strict: too long lines are an error."""
-    events = log_events(read_lines(spark, path, strict))
-    return events, bursts(events, config)
+    return scan_lines(read_lines(spark, path, strict), config)
 
 
 def scan_triggers(events: DataFrame, alerts: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
