@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import time
 
 from tidewatch import cli
 from tidewatch.config import SECOND, BurstConfig, TriggerConfig
@@ -105,7 +106,7 @@ def test_each_line_is_shown_once_though_the_log_grows_during_the_scan(spark, tmp
 
     monkeypatch.setattr(cli, "scan_lines", growing)
     q = cli.main(["-file", str(p), "-follow", "-json", "-checkpoint", str(tmp_path / "cp")], spark, wait=False)
-    q.processAllAvailable()
+    settled(q, 10)
     q.stop()
     out = capsys.readouterr().out
     scanned, live = out[: out.index("]\n") + 2], out[out.index("]\n") + 2 :].strip().splitlines()
@@ -128,6 +129,89 @@ def test_stream_equals_replay(spark, tmp_path):
     assert len([r for r in got if r.kind == "trigger"]) == 3
 
 
+def plain_live(rows, b, t):
+    """One source's events, one by one, as they arrive: (kind, second, attempts, users, reason)."""
+    last = first = hit = None
+    n, alerted, users, times, out = 0, False, [], [], []
+    for us, user in rows:
+        def fire(reason):
+            nonlocal hit
+            if hit is None or us - hit >= t.cooldown:
+                hit = us
+                out.append(("trigger", us, None, None, reason))
+
+        times = [x for x in times if x > us - t.window] + [us]
+        times = times[-max(1, t.repeats) :]
+        if len(times) >= t.repeats:
+            fire("repeat_offender")
+        if last is None or us - last > b.window:
+            first, n, alerted, users = us, 0, False, []
+        last, n = us, n + 1
+        if user and user not in users and not alerted:
+            users.append(user)
+        if not alerted and n >= b.threshold:
+            alerted = True
+            out.append(("alert", us, n, tuple(users), None))
+            if n >= 4 * b.threshold:
+                fire("critical_severity")
+    return out
+
+
+def settled(q, rows):
+    """Wait until a query has read so many rows and one more batch has run: with state that ages there is always another batch."""
+    until, seen = time.time() + 60, {}
+    while time.time() < until:
+        seen |= {p["batchId"]: p["numInputRows"] for p in q.recentProgress}
+        if sum(seen.values()) >= rows and q.lastProgress["numInputRows"] == 0:
+            return
+        time.sleep(0.2)
+    raise TimeoutError(str(seen))
+
+
+def stream(spark, folder, batches, b, t, grace=None, pause=0):
+    """What the detector finds in batches of (source, us, user), and the rows its state has held."""
+    at = folder / "in"
+    at.mkdir()
+    events = spark.readStream.schema("source string, us long, user string, seq long, rep_idx long").option("maxFilesPerTrigger", 1).parquet(str(at))
+    q = detect(events, b, t, **({} if grace is None else {"grace": grace})).writeStream.format("memory").queryName(folder.name).outputMode("append").option("checkpointLocation", str(folder / "cp")).start()
+    held, seq = [], 0
+    for n, rows in enumerate(batches):
+        if n:
+            time.sleep(pause)
+        spark.createDataFrame([(s, us, u, seq + i, 0) for i, (s, us, u) in enumerate(rows)], "source string, us long, user string, seq long, rep_idx long").coalesce(1).write.mode("append").parquet(str(at))
+        seq += len(rows)
+        settled(q, seq)
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    q.stop()
+    return spark.sql(f"select * from {folder.name}").collect(), held
+
+
+def test_batches_equal_events_one_by_one(spark, tmp_path):
+    """Batches of any cut, clocks that go backwards, thresholds of 0 and 1."""
+    rng = random.Random(9)
+    for n, (b, t) in enumerate(((BurstConfig(3, 20), TriggerConfig(3, 30, 60)), (BurstConfig(0, 5), TriggerConfig(1, 10, 25)), (BurstConfig(6, 50), TriggerConfig(4, 8, 0)))):
+        per = {}
+        for s in "abc":
+            at = 0
+            per[s] = [(at := at + rng.choice([0, 1, 3, 9, 30, -4 if s == "c" else 2]), rng.choice(["", "u", "v", "w"])) for _ in range(150)]
+        batches = [[(s, *per[s][i]) for i in range(k, min(k + 37, 150)) for s in "abc"] for k in range(0, 150, 37)]
+        folder = tmp_path / f"plain{n}"
+        folder.mkdir()
+        got, _ = stream(spark, folder, batches, b, t)
+        for s in "abc":
+            mine = sorted((r.kind, r.us, r.attempts, tuple(r.users) if r.users is not None else None, r.reason) for r in got if r.source == s)
+            assert mine == sorted(plain_live(per[s], b, t), key=lambda x: x[:2]), (n, s)
+
+
+def test_quiet_sources_leave_the_store(spark, tmp_path):
+    b, t = BurstConfig(3, 1000), TriggerConfig(3, 1000, 1000)
+    folder = tmp_path / "quiet"
+    folder.mkdir()
+    many = [(f"s{i}", k * 100_000, f"u{k}") for i in range(40) for k in range(9)]
+    _, held = stream(spark, folder, [many, [("late", 5, "x")], [("late", 6, "x")]], b, t, grace=2_000_000, pause=4)
+    assert 40 <= max(held) <= 40 * 8 and held[-1] <= 10
+
+
 def test_command_line(spark, tmp_path, capsys):
     p = tmp_path / "auth.log"
     p.write_text("".join(line(i) for i in range(6)))

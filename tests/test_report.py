@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,12 +33,29 @@ def test_table_order_and_padding(spark):
 
 
 def test_summary_rolls_up(spark):
-    text = render.summary(alerts(spark, [(f"s{i}", 5 + i, i, i + 90, ["root", "admin"][: i % 3], "normal") for i in range(8)]), lambda ips: {"s7": "host"})
+    text = render.summary(alerts(spark, [(f"s{i}", 5 + i, i, i + 90, ["root", "admin"][: i % 3], "normal") for i in range(8)]), lambda ips: spark.createDataFrame([("s7", "host"), ("s0", "unseen")], "ip string, host string"))
     assert "8 source(s) flagged" in text and "Minor attempts (8):" in text
     assert "  ...and 3 more, most commonly targeting: root (2), admin (1)" in text
     assert "s7 (host) tried 12 password(s) against root over 1 minute(s) (8.0/min)" in text
 
 
+def test_rows_that_cannot_be_told_apart_are_counted(spark):
+    rows = [("a", 9, 0, 9, ["x"], "normal")] + [("s", 5, 0, 9, ["x"], "normal")] * 7 + [("z", 1, 3, 9, ["y"], "normal")] * 2 + [("c", 9, 0, 1, [], "critical")] * 5
+    got = {r.severity: (r.alerts, r.commonly) for r in report.tier_rollup(alerts(spark, rows), 5).collect()}
+    assert got == {"normal": (5, "x (3), y (2)")}
+
+
+def test_users_per_group(spark):
+    rng = random.Random(2)
+    rows = [("s", 5, i, i, rng.sample([f"u{k}" for k in range(200)], 3), rng.choice(["normal", "warning"])) for i in range(400)]
+    got = {(r.severity, r.user): r.alerts for r in report.top_users(alerts(spark, rows), 4, ("severity",)).collect()}
+    want = {}
+    for tier in ("normal", "warning"):
+        n = Counter(u for r in rows if r[5] == tier for u in r[4])
+        want |= {(tier, u): n[u] for u in sorted(n, key=lambda u: (-n[u], u))[:4]}
+    assert got == want
+
+
 def test_stats(spark):
     day = 86400
     rows = [(f"s{i}", 5, d * day + i * 60, d * day + i * 60 + 5, ["root"], "normal") for i, d in enumerate((0, 0, 1, 2, 2, 2))]

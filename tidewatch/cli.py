@@ -7,7 +7,7 @@ import re
 import signal
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import render
@@ -15,9 +15,11 @@ from .config import SECOND, BurstConfig, TriggerConfig
 from .operators import report
 from .operators.intel import enrich, intel_json, intel_line
 from .plans.logs import last_month, scan_lines, scan_triggers
+from .sources import lookups
 from .sources.lines import read_lines
 from .sources.tail import follow, read_until, whole_until
 from .streaming.live import detect, live_events, use_rocksdb
+from .streaming.sinks import Shown, Written, to_each
 
 _UNIT = {"ms": 1000, "s": SECOND, "m": 60 * SECOND, "h": 3600 * SECOND}
 
@@ -51,16 +53,43 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("-checkpoint", help="folder that keeps how far -follow has come")
     p.add_argument("-registry", help="Parquet table ip, org, network")
     p.add_argument("-geo", help="Parquet table ip, country, city, asn, isp")
+    p.add_argument("-registry-client", help="module:function, or a URL with {ip}, that is asked for what registries know")
+    p.add_argument("-geo-client", help="the same for locations")
+    p.add_argument("-hosts", action="store_true", help="names of the sources in -summary")
+    p.add_argument("-resolver", default="tidewatch.sources.lookups:reverse_dns", help="module:function that gives the names of an address")
+    p.add_argument("-cache", help="folder that keeps what clients and resolver have answered")
+    p.add_argument("-out", help="folder that gets what -follow finds, as JSON lines by batch")
     a = p.parse_args(argv)
     if a.json and a.summary or a.stats and (a.json or a.summary or a.follow):
         p.error("these outputs exclude each other")
     return a
 
 
-def _notes(spark: SparkSession, fired, a: argparse.Namespace) -> None:
+def _cache(a: argparse.Namespace, name: str) -> str | None:
+    return f"{a.cache}/{name}" if a.cache else None
+
+
+def _hosts(a: argparse.Namespace):
+    """A function that adds names to addresses, if they are asked for."""
+    return (lambda ips: lookups.hostnames(ips, lookups.named(a.resolver), _cache(a, "hosts"))) if a.hosts else None
+
+
+def _enriched(spark: SparkSession, fired: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """Triggers with what tables, or else clients, know about their sources."""
+    ips = fired.select(F.col("source").alias("ip")).where("source != ''")
     known = [spark.read.parquet(p) if p else None for p in (a.registry, a.geo)]
-    for r in enrich(fired, *known).orderBy("us", "source").select((intel_json() if a.json else intel_line()).alias("t")).collect():
+    if a.registry_client and not a.registry:
+        known[0] = lookups.registry_fields(lookups.answers(ips, lookups.named(a.registry_client, lookups.REGISTRY_FIELDS), lookups.REGISTRY, _cache(a, "registry")))
+    if a.geo_client and not a.geo:
+        known[1] = lookups.geo_fields(lookups.answers(ips, lookups.named(a.geo_client, lookups.GEO_FIELDS), lookups.GEO, _cache(a, "geo")))
+    return enrich(fired, *known)
+
+
+def _notes(spark: SparkSession, fired: DataFrame, a: argparse.Namespace) -> None:
+    fired = fired.cache()
+    for r in _enriched(spark, fired, a).orderBy("us", "source").select((intel_json() if a.json else intel_line()).alias("t")).collect():
         print(r.t, file=sys.stderr)
+    fired.unpersist()
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait: bool = True):
@@ -77,7 +106,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
         if a.json:
             print(render.json_array(alerts))
         elif a.summary:
-            print(render.summary(alerts), end="")
+            print(render.summary(alerts, _hosts(a)), end="")
         elif a.stats:
             print(render.stats(alerts, colour), end="")
         else:
@@ -90,20 +119,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
     use_rocksdb(spark)
     print(f"Watching {a.file} for new activity (threshold={a.threshold}, window={duration_text(a.window)})... press Ctrl+C to stop", file=sys.stderr)
 
-    def show(batch, _: int) -> None:
-        found = batch.cache()
-        alerts = found.where("kind = 'alert'").orderBy("us", "source")
+    def show(found: DataFrame) -> None:
+        alerts = found.orderBy("us", "source")
         if a.json:
             for r in alerts.select(report.alert_json().alias("j")).collect():
                 print(r.j, flush=True)
+        elif a.summary:
+            for r in render.with_hosts(alerts, _hosts(a)).orderBy("us", "source").select("*", *report.told()).collect():
+                print(render.sentence(r, r.host), flush=True)
         else:
             for r in render.rows_of(alerts):
-                print(render.sentence(r) if a.summary else render.line(r, colour), flush=True)
-        if a.cti:
-            _notes(spark, found.where("kind = 'trigger'").select("source", "us", "reason"), a)
-        found.unpersist()
-
-    writer = detect(live_events(follow(spark, a.file, str(begin)), last_month(lines)), burst, trigger).writeStream.outputMode("append").foreachBatch(show)
+                print(render.line(r, colour), flush=True)
+
+    marks = lambda name: f"{a.checkpoint}/{name}" if a.checkpoint else None
+    alert, trigger_ = "kind = 'alert'", "kind = 'trigger'"
+    sinks = [(alert, Shown(spark, show, marks("shown")))]
+    if a.cti:
+        sinks.append((trigger_, Shown(spark, lambda found: _notes(spark, found.select("source", "us", "reason"), a), marks("noted"))))
+    if a.out:
+        sinks += [(alert, Written(f"{a.out}/alerts")), (trigger_, Written(f"{a.out}/triggers"))]
+    found = detect(live_events(follow(spark, a.file, str(begin)), last_month(lines)), burst, trigger)
+    # state that ages lets batches follow each other without end: one a second is enough
+    writer = found.writeStream.outputMode("append").trigger(processingTime="1 second").foreachBatch(to_each(*sinks))
     query = (writer.option("checkpointLocation", a.checkpoint) if a.checkpoint else writer).start()
     if wait:
         signal.signal(signal.SIGTERM, lambda *_: query.stop())

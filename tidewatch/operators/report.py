@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BASE_YEAR, bar, bucket_label, bucket_start, bucket_unit, clock, plain_json, severity_rank, unit_name
+from ..functions.scalars import BASE_YEAR, bar, bucket_label, bucket_start, bucket_unit, capped, clock, duration_words, plain_json, severity_rank, unit_name, users_clause
 
 TIERS = ("critical", "warning", "normal")
 
@@ -48,23 +48,31 @@ def top_per_tier(alerts: DataFrame, n: int = 5) -> DataFrame:
     return few.withColumn("place", F.row_number().over(W.partitionBy("severity").orderBy(*order))).where(F.col("place") <= n).drop("_k", "_part")
 
 
-def rest_per_tier(alerts: DataFrame, n: int = 5) -> DataFrame:
-    """The alerts that top_per_tier() leaves."""
-    return alerts.join(top_per_tier(alerts, n).select("source", "first_us"), ["source", "first_us"], "left_anti")
+def beyond_top(alerts: DataFrame, n: int = 5) -> DataFrame:
+    """The alerts that top_per_tier() leaves: those after a tier's n-th in its order. The n-th is one row a tier."""
+    key = F.struct((-F.col("attempts")).alias("a"), "first_us", "source")
+    top = top_per_tier(alerts, n).withColumn("_last", F.max(key).over(W.partitionBy("severity")))
+    last = top.groupBy("severity", "_last").agg(F.count("*").alias("_n"), F.count_if(key == F.col("_last")).alias("_same")).where(F.col("_n") == n)
+    after = alerts.join(F.broadcast(last), "severity").where(key >= F.col("_last"))
+    alike = after.where(key == F.col("_last"))  # rows that cannot be told from the n-th
+    alike = alike.withColumn("_k", F.row_number().over(W.partitionBy("severity").orderBy("source"))).where(F.col("_k") > F.col("_same"))
+    return after.where(key > F.col("_last")).select(alerts.columns).unionByName(alike.select(alerts.columns))
 
 
 def top_users(alerts: DataFrame, n: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, user, alerts): the users that most alerts mention; ties by name."""
+    """(by, user, alerts): the users that most alerts mention; ties by name. Users are cut down in parallel before a group's meet."""
     counts = alerts.select(*by, F.explode("users").alias("user")).groupBy(*by, "user").agg(F.count("*").alias("alerts"))
     order = [F.col("alerts").desc(), F.col("user")]
     if not by:
         return counts.orderBy(*order).limit(n)
-    return counts.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+    dealt = counts.withColumn("_part", F.pmod(F.xxhash64("user"), F.lit(64)))
+    few = dealt.withColumn("_k", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))).where(F.col("_k") <= n)
+    return few.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_k", "_part")
 
 
 def tier_rollup(alerts: DataFrame, n: int = 5, users: int = 3) -> DataFrame:
     """(severity, alerts, commonly): of the alerts beyond the n largest of a tier, how many, and their commonest users."""
-    rest = rest_per_tier(alerts, n)
+    rest = beyond_top(alerts, n)
     named = top_users(rest, users, ("severity",)).groupBy("severity").agg(F.sort_array(F.collect_list(F.struct((-F.col("alerts")).alias("m"), "user"))).alias("u"))
     text = F.array_join(F.transform("u", lambda x: F.concat(x["user"], F.lit(" ("), (-x["m"]).cast("string"), F.lit(")"))), ", ")
     return rest.groupBy("severity").agg(F.count("*").alias("alerts")).join(named, "severity", "left").select("severity", "alerts", F.coalesce(text, F.lit("unknown accounts")).alias("commonly"))
@@ -80,3 +88,13 @@ def alert_json(base_year: int = BASE_YEAR) -> Column:
 def shown() -> list[Column]:
     """Columns that text reports need beside the alert's own."""
     return [clock(F.col("first_us")).alias("first_text"), clock(F.col("last_us")).alias("last_text")]
+
+
+def told() -> list[Column]:
+    """Columns that a sentence about an alert needs beside the alert's own."""
+    return [*shown(), users_clause(F.col("users")).alias("clause"), duration_words(F.col("last_us") - F.col("first_us")).alias("lasted")]
+
+
+def listed(most: int = 8) -> list[Column]:
+    """The users of an alert for a table's cell and for a line, the first of them and how many more there are."""
+    return [capped(F.col("users"), most, ", ").alias("users_text"), capped(F.col("users"), most, ",").alias("users_list")]

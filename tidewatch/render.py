@@ -21,24 +21,19 @@ USERS_SHOWN, DETAILED, BAR = 8, 5, 40
 
 
 def rows_of(alerts: DataFrame) -> list:
-    return alerts.select("*", *report.shown()).collect()
+    return alerts.select("*", *report.shown(), *report.listed(USERS_SHOWN)).collect()
 
 
 def rate(a) -> str:
     return f"{a.attempts / (max(a.last_us - a.first_us, 1_000_000) / 60_000_000):.1f}/min"
 
 
-def users_text(users: list[str], between: str) -> str:
-    more = len(users) - USERS_SHOWN
-    return between.join(users[:USERS_SHOWN] + ([f"+{more} more"] if more > 0 else []))
-
-
 def coloured(text: str, severity: str, colour: bool) -> str:
     return f"{COLOURS[severity]}{text}{RESET}" if colour and severity in COLOURS else text
 
 
 def line(a, colour: bool = False) -> str:
-    return coloured(f"[ALERT] {a.last_text}  source={a.source}  attempts={a.attempts}  rate={rate(a)}  users={users_text(a.users, ',') or '-'}", a.severity, colour)
+    return coloured(f"[ALERT] {a.last_text}  source={a.source}  attempts={a.attempts}  rate={rate(a)}  users={a.users_list or '-'}", a.severity, colour)
 
 
 def table(alerts: DataFrame, colour: bool = False) -> str:
@@ -46,7 +41,7 @@ def table(alerts: DataFrame, colour: bool = False) -> str:
     rows = rows_of(alerts.orderBy(*report.display_order()))
     if not rows:
         return NOTHING
-    cells = [HEADERS] + [(a.source, str(a.attempts), rate(a), a.first_text, a.last_text, users_text(a.users, ", ")) for a in rows]
+    cells = [HEADERS] + [(a.source, str(a.attempts), rate(a), a.first_text, a.last_text, a.users_text) for a in rows]
     widths = [max(len(c[i].encode()) for c in cells) + 2 for i in range(len(HEADERS) - 1)]
     text = ["".join(x.ljust(w) for x, w in zip(c, widths)) + c[-1] for c in cells]
     return "\n".join([text[0], *(coloured(t, a.severity, colour) for t, a in zip(text[1:], rows))]) + "\n"
@@ -54,33 +49,37 @@ def table(alerts: DataFrame, colour: bool = False) -> str:
 
 def sentence(a, host: str | None = None) -> str:
     who = f"{a.source} ({host})" if host else a.source
-    u, span = a.users, a.last_us - a.first_us
-    clause = ["", *(f" against {x}" for x in (" and ".join(u[:2]),) * 2), f" against {u[0]}, {u[1]}, and {len(u) - 2} other account(s)" if len(u) > 2 else ""][min(len(u), 3)]
-    lasted = "under a second" if span < 1_000_000 else f"{span // 1_000_000} seconds" if span < 60_000_000 else f"{span // 60_000_000} minute(s)"
-    return f"{who} tried {a.attempts} password(s){clause} over {lasted} ({rate(a)}) — last seen {a.last_text}"
+    return f"{who} tried {a.attempts} password(s){a.clause} over {a.lasted} ({rate(a)}) — last seen {a.last_text}"
 
 
-def summary(alerts: DataFrame, resolve: Callable[[list[str]], dict[str, str]] | None = None) -> str:
-    """An outline by severity; only the sources told in detail are resolved."""
+def summary(alerts: DataFrame, hosts: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """An outline by severity. hosts: addresses (ip) to names (ip, host); only the sources told in detail are asked for."""
     head = report.header(alerts).select("*", *report.shown()).first()
     if not head.alerts:
         return NOTHING
-    top = rows_of(report.top_per_tier(alerts, DETAILED).orderBy("severity", "place"))
+    top = with_hosts(report.top_per_tier(alerts, DETAILED), hosts).orderBy("severity", "place").select("*", *report.told()).collect()
     rest = {r.severity: r for r in report.tier_rollup(alerts, DETAILED).collect()}
-    names = resolve([a.source for a in top]) if resolve else {}
     out = ["SSH Brute-Force Summary", f"{head.alerts} source(s) flagged, {head.first_text} to {head.last_text}", ""]
     for tier, label in TIER_LABELS.items():
         own = [a for a in top if a.severity == tier]
         if own:
             more = rest.get(tier)
             out.append(f"{label} ({len(own) + (more.alerts if more else 0)}):")
-            out += [f"  - {sentence(a, names.get(a.source))}" for a in own]
+            out += [f"  - {sentence(a, a.host)}" for a in own]
             if more:
                 out.append(f"  ...and {more.alerts} more, most commonly targeting: {more.commonly}")
             out.append("")
     return "\n".join(out) + "\n"
 
 
+def with_hosts(alerts: DataFrame, hosts: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Adds host, the name of the source, where there is one."""
+    if hosts is None:
+        return alerts.withColumn("host", F.lit(None).cast("string"))
+    names = hosts(alerts.select(F.col("source").alias("ip")).where("source != ''"))
+    return alerts.join(names.withColumnRenamed("ip", "source"), "source", "left")
+
+
 def stats(alerts: DataFrame, colour: bool = False) -> str:
     """Severity bars, activity over time, and the top ten. The unit named is the one that was chosen."""
     head = report.header(alerts).select("*", *report.shown(), unit_name(bucket_unit(F.col("last_us") - F.col("first_us"))).alias("unit")).first()
@@ -92,7 +91,7 @@ def stats(alerts: DataFrame, colour: bool = False) -> str:
     out += [f"  {r.label:<14} {r.bar:<{BAR}} {r.alerts}" for r in report.histogram(alerts).orderBy("start_us").collect()]
     out += ["", "TOP OFFENDERS"]
     top = rows_of(report.top_offenders(alerts))
-    out += [coloured(f"  {i:>2}. {a.source:<15} {a.attempts:>5} attempts  {a.severity:<8} {users_text(a.users, ', ') or '-'}", a.severity, colour) for i, a in enumerate(top, 1)]
+    out += [coloured(f"  {i:>2}. {a.source:<15} {a.attempts:>5} attempts  {a.severity:<8} {a.users_text or '-'}", a.severity, colour) for i, a in enumerate(top, 1)]
     if head.alerts > len(top):
         out.append(f"  ...and {head.alerts - len(top)} more sources")
     return "\n".join(out) + "\n"
