@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import TriggerConfig
 from ..functions.scalars import DAY
-from ..sources.stored import discard, stored
+from ..sources.stored import stored
 
 REPEAT, CRITICAL = "repeat_offender", "critical_severity"
 
@@ -77,13 +77,12 @@ def cool_down(hits: DataFrame, cooldown: int, slice_us: int | None = None) -> Da
         return hits.select("source", "us", "reason")
     one = hits.groupBy("source", "us").agg(F.min(F.struct("kind", "seq", "rep_idx", "reason")).alias("h")).select("source", "us", F.col("h.reason").alias("reason"))
     linked = stored(pointers(one, cooldown, slice_us))
-    fired = linked.where("root").select("source", "us")
-    jumps, old = linked.where("next is not null").select("source", "us", "next"), []
+    fired, jumps = linked.where("root").select("source", "us"), linked.where("next is not null").select("source", "us", "next")
     while not jumps.isEmpty():
-        reached = fired.join(jumps, ["source", "us"]).select("source", F.col("next").alias("us"))
-        fired, jumps = stored(fired.unionByName(reached)), stored(jumps.join(jumps.select("source", F.col("us").alias("next"), F.col("next").alias("far")), ["source", "next"]).select("source", "us", F.col("far").alias("next")))
-        discard(*old)
-        old = [fired, jumps]
+        reached = fired.join(jumps, ["source", "us"]).select("source", F.col("next").alias("us"), F.lit(None).cast("long").alias("next"))
+        further = jumps.join(jumps.select("source", F.col("us").alias("next"), F.col("next").alias("far")), ["source", "next"]).select("source", "us", F.col("far").alias("next"))
+        step = stored(reached.unionByName(further))  # of what fires no pointer is kept
+        fired, jumps = fired.unionByName(step.where("next is null").select("source", "us")), step.where("next is not null")
     return linked.join(fired, ["source", "us"], "left_semi").select("source", "us", "reason")
 
 

@@ -16,6 +16,7 @@ from ..operators.intel import enrich, intel_line
 from ..operators.parse import expand, parse_lines, with_time
 from ..operators.triggers import trailing_repeats, triggers
 from ..operators.years import years_by_block
+from ..sources.stored import stored
 
 CONFIG = BurstConfig(threshold=2, window=6 * HOUR)
 LIVE = BurstConfig(threshold=3, window=6 * HOUR)
@@ -130,7 +131,7 @@ def stats_header(spark, d):
 
 def activity_histogram(spark, d):
     """A9, P20-P23."""
-    return report.histogram(_alerts(spark, d)).select("start_us", "label", "alerts", "unit", F.length("bar").cast("long").alias("bar"))
+    return report.histogram(stored(_alerts(spark, d))).select("start_us", "label", "alerts", "unit", F.length("bar").cast("long").alias("bar"))
 
 
 def top_offenders(spark, d):
@@ -145,7 +146,7 @@ def top_per_tier(spark, d):
 
 def tier_rollup(spark, d):
     """O3, A6: what lies beyond the top of each tier."""
-    return report.tier_rollup(_alerts(spark, d), 5)
+    return report.tier_rollup(stored(_alerts(spark, d)), 5)
 
 
 def top_users(spark, d):
