@@ -74,6 +74,16 @@ def test_links_are_verified_by_whole_texts(spark):
     assert of[500, 0] == of[501, 0] == 500 and {v for (i, _), v in of.items() if i is None} == {0}
 
 
+@pytest.mark.parametrize("least", [0.99, 1.0])
+def test_similarities_near_one(spark, least):
+    """Long and short sets of shingles: equal ones are linked, at 0.99 also those that differ by one word in very many."""
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]
+    docs = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join([*long[:20_000], "other", *long[20_001:]])), (10, "a b c d e f g"), (11, "a b c d e f g"), (12, "a b c d e f h")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), least=least).collect()}
+    assert got == {1: 1, 2: 1, 3: 1 if least < 1 else 3, 10: 10, 11: 10, 12: 12}
+
+
 def test_a_text_and_the_same_text_twice_are_copies(spark):
     """Repeats add shingles but hardly any different ones: the sift by size must not part them."""
     rng = random.Random(2)
@@ -579,7 +589,34 @@ def test_empty_tables(spark):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_pipeline_stages_on_odd_rows(spark, data):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables, and columns whose names the stages use."""
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice("the river town people water house light garden morning and of in to was".split()) for _ in range(n))
+    texts = [None, "", " ", "x", prose(80), prose(80), prose(60_000), "a" * 1_000_000, prose(90) + " key kX9vQ2mZp7Lw4TnB8rYc end"]
+    rows = [(i if i % 4 else None, t, None if i % 3 else "en", "s", None if i % 2 else 7, 1, "x", 2.0) for i, t in enumerate(texts + texts[4:6])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h int, fp string, score double"
+    full = spark.createDataFrame(rows, schema)
+    own = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    for extra in ("h int", "fp string", "score double"):
+        own = own.withColumn(extra.split()[0], F.lit(None).cast(extra.split()[1]))
+    for docs in (full, own.unionByName(full), full.limit(0)):
+        before = docs.count()
+        for n, (_, stage) in enumerate(C.STAGES):
+            after = C.stored(stage(spark, docs, data))
+            assert after.count() <= docs.count()
+            if n < 4:
+                assert after.dtypes == docs.dtypes
+            if n == 3 and before:
+                got = [r.text for r in after.collect()]
+                assert not any("kX9vQ2mZp7Lw4TnB8rYc" in (t or "") for t in got)
+            docs = after
+        assert {"doc_id", "ids", "decoded"} <= set(docs.columns)
 
 
 def test_pipeline(spark, data):

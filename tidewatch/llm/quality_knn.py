@@ -130,7 +130,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
-    """The documents that score `threshold` or more; columns stay as they are."""
+    """The documents that score `threshold` or more; columns stay as they are.
+
+    Null and empty texts score the share of label 1 among the labelled rows. Rows are judged one by one: equal ones stay or go
+    together, a null id changes nothing. Without labelled rows every score is 0.5, and all stay; no documents, no rows.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample)), docs.columns
 
     def run(batches):

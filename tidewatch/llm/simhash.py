@@ -165,7 +165,10 @@ def plan(n: int, both: np.ndarray, tau: int, share: float = 1.0, asks: int = 1)
 
 
 def _width(least: float) -> float:
-    return 1e-9 - math.log(least) if least else 0.0
+    """Of classes in which sets of this similarity lie together or side by side. Classes wider than need be lose nothing, and sizes up to 2**60 have under 1024 of them."""
+    if least and not 0 < least <= 1:
+        raise ValueError("a similarity lies above 0 and up to 1")
+    return max(0.05, 1e-9 - math.log(least)) if least else 0.0
 
 
 def dealt(nodes: DataFrame, tau: int, least: float) -> tuple[DataFrame, list[tuple[int, int]]] | None:

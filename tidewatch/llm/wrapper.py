@@ -252,7 +252,11 @@ def host(url) -> F.Column:
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """(host, skeleton JSON) of (host, html): the SEEDS pages of least hash, each by a hash of its own, folded in that order."""
+    """(host, skeleton JSON) of (host, html): the SEEDS pages of least hash, each by a hash of its own, folded in that order.
+
+    Null pages count as empty ones; a page that has the least hash twice, or copies of it, is folded once; of equal hashes the
+    lesser source counts. No pages, no rows.
+    """
 
     def least(batches):
         held: dict[tuple[str, int], tuple[int, str]] = {}
@@ -303,7 +307,10 @@ def known(spec: str, cache: dict) -> list:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, template) of (host, url, html): template is a JSON list of [slot, text hash, sure]."""
+    """(host, skeleton, template) of (host, url, html): template is a JSON list of [slot, text hash, sure].
+
+    Every row counts as a page, copies as well; null pages are empty. Hosts without a template text have a null template.
+    """
     trees = settle(skeletons(pages))
 
     def count(batches):
