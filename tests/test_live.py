@@ -108,6 +108,10 @@ def test_each_line_is_shown_once_though_the_log_grows_during_the_scan(spark, tmp
     q = cli.main(["-file", str(p), "-follow", "-json", "-checkpoint", str(tmp_path / "cp")], spark, wait=False)
     settled(q, 10)
     q.stop()
+    until = time.time() + 20
+    while q.watch.counted.get("lines.rows") != 10 and time.time() < until:
+        time.sleep(0.2)
+    assert q.watch.counted == {"lines.rows": 10, "events.rows": 10}
     out = capsys.readouterr().out
     scanned, live = out[: out.index("]\n") + 2], out[out.index("]\n") + 2 :].strip().splitlines()
     assert [(a["Source"], a["Attempts"], a["LastSeen"]) for a in json.loads(scanned)] == [("198.51.100.4", 5, "0000-12-31T23:59:08Z")]

@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.operators.parse import expand, parse_lines, with_time
-from tidewatch.operators.years import years_by_block, years_by_order
+from tidewatch.operators.years import years_by_block
 from tidewatch.plans.logs import scan
 from tidewatch.sources.lines import read_lines
 
@@ -14,6 +15,12 @@ PAM = "Mar  4 09:00:01 h1 sshd(pam_unix)[77]: authentication failure; logname= u
 SSH = "Mar 14 09:00:04 h1 sshd[80]: Failed password for root from 203.0.113.9 port 4001 ssh2"
 
 
+def years_by_order(events, order):
+    """year_seq over one global order, in one task."""
+    w = W.orderBy(*order)
+    return events.withColumn("year_seq", F.sum(F.coalesce((F.col("month") < F.lag("month").over(w)).cast("int"), F.lit(0))).over(w))
+
+
 def parsed(spark, *lines):
     df = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "block_start long, line_id long, value string")
     return parse_lines(df)
@@ -68,6 +75,16 @@ def test_years(spark, months, years):
     assert [r.year_seq for r in got] == years
 
 
+def test_events_are_read_once(spark, tmp_path):
+    """Neither the blocks' ends nor the rows go back to the log."""
+    p = tmp_path / "a.log"
+    p.write_text("\n".join(dated(["Dec 30", "Jan  1", "Mar  1"])))
+    from tidewatch.plans.logs import log_events
+
+    plan = log_events(read_lines(spark, str(p)))._jdf.queryExecution().toString()
+    assert "a.log" not in plan and "FileScan text" not in plan
+
+
 def test_leap_day_of_a_common_year_is_the_first_of_march(spark):
     got = with_time(years_by_order(parsed(spark, *dated(["Feb 29", "Jan  1", "Feb 29"])), ("line_id",))).orderBy("line_id").collect()
     assert [str(r.ts)[:10] for r in got] == ["2000-02-29", "2001-01-01", "2001-03-01"]

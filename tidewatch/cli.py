@@ -20,6 +20,7 @@ from .sources.lines import read_lines
 from .sources.tail import follow, read_until, whole_until
 from .streaming.live import detect, live_events, use_rocksdb
 from .streaming.sinks import Shown, Written, to_each
+from .streaming.watch import Watch
 
 _UNIT = {"ms": 1000, "s": SECOND, "m": 60 * SECOND, "h": 3600 * SECOND}
 
@@ -141,7 +142,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
     found = detect(live_events(follow(spark, a.file, str(begin)), last_month(lines)), burst, trigger)
     # state that ages lets batches follow each other without end: one a second is enough
     writer = found.writeStream.outputMode("append").trigger(processingTime="1 second").foreachBatch(to_each(*sinks))
+    spark.streams.addListener(watch := Watch())
     query = (writer.option("checkpointLocation", a.checkpoint) if a.checkpoint else writer).start()
+    query.watch = watch
     if wait:
         signal.signal(signal.SIGTERM, lambda *_: query.stop())
         try:

@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 from ..sources.stored import stored
 
 
-def years_by_order(events: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Adds year_seq over one global order: simple, but all rows meet in one task. For small inputs and tests."""
-    w = W.orderBy(*order)
-    return events.withColumn("year_seq", F.sum(F.coalesce((F.col("month") < F.lag("month").over(w)).cast("int"), F.lit(0))).over(w))
-
-
 def years_by_block(events: DataFrame, block: str, order: tuple[str, ...], log: str | None = None) -> DataFrame:
     """Adds year_seq in two steps: within blocks in parallel, then over one row per block.
 

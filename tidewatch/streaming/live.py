@@ -14,6 +14,7 @@ from ..config import BurstConfig, TriggerConfig
 from ..functions.scalars import BASE_YEAR, DAY
 from ..operators.parse import expand, parse_lines, with_time
 from ..operators.triggers import CRITICAL, REPEAT
+from .watch import observed
 
 YEARS = "log_path string, line_id long, month int, day int, hour int, minute int, second int, source string, user string, rep_count long, raw string, year_seq long"
 EVENT = "source string, us long, user string, seq long, rep_idx long"
@@ -133,7 +134,7 @@ def trailing(held: np.ndarray, us: np.ndarray, repeats: int, window: int) -> tup
 
 def live_events(lines: DataFrame, start: tuple[int, int] = (0, 0)) -> DataFrame:
     """A stream of (log_path, line_id, value) to expanded events with years carried along each log; start: year and month it goes on from."""
-    parsed = parse_lines(lines, ("log_path", "line_id"))
+    parsed = observed(parse_lines(observed(lines, "lines"), ("log_path", "line_id")), "events")
     dated = with_time(parsed.groupBy("log_path").transformWithStateInPandas(YearCarry(start), YEARS, "Append", "None"), BASE_YEAR)
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     return expand(dated).select("source", us.alias("us"), "user", F.col("line_id").alias("seq"), F.col("rep_idx").cast("long").alias("rep_idx"))
