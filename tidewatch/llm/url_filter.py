@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 SIZE = 8192  # hashed features
 GRAM = 4  # characters of an n-gram
 STEPS = 60  # of gradient descent
-RATE = 90.0
+RATE = 200.0
 DECAY = 0.0005
 FALSE = 0.005  # share of held-out rows to allow that may be blocked
 
@@ -42,7 +42,7 @@ OTHER_PARTS = (
 ).split()
 
 
-def labelled_urls(first: int = 0, last: int = 1200, parts: list[str] = PARTS) -> list[tuple[str, int]]:
+def labelled_urls(first: int = 0, last: int = 2400, parts: list[str] = PARTS) -> list[tuple[str, int]]:
     """(url, 1 to block): the labelled table, row by row by a rule. One in four is to block, one is of words to allow, two of made-up names.
 
     Subdomains, endings, languages, numbers and forms of path are alike in both kinds. Other `parts` make other rows.
