@@ -20,12 +20,12 @@ def alerts(spark, rows):
 
 def test_nothing(spark):
     none = alerts(spark, [])
-    assert render.table(none) == render.summary(none) == render.stats(none) == render.NOTHING
-    assert render.json_array(none) == "[]"
+    assert "".join(render.table(none)) == render.summary(none) == render.stats(none) == render.NOTHING
+    assert "".join(render.json_array(none)) == "[]"
 
 
 def test_table_order_and_padding(spark):
-    text = render.table(alerts(spark, [("n", 5, 0, 60, [], "normal"), ("c", 20, 0, 0, [f"u{i}" for i in range(50)], "critical"), ("w", 10, 5, 9, ["root"], "warning")]))
+    text = "".join(render.table(alerts(spark, [("n", 5, 0, 60, [], "normal"), ("c", 20, 0, 0, [f"u{i}" for i in range(50)], "critical"), ("w", 10, 5, 9, ["root"], "warning")])))
     lines = text.splitlines()
     assert [x[0] for x in lines[1:]] == ["c", "w", "n"]
     assert lines[1].endswith("u7, +42 more") and not any(x.endswith(" ") for x in lines[:3])
@@ -82,7 +82,15 @@ def test_small_functions(spark):
 
 def test_json(spark):
     a = alerts(spark, [("s", 5, 0, 60, ["root"], "normal"), ("t", 5, -1, 60, [], "normal")]).where("source = 's'")
-    assert json.loads(render.json_array(a)) == [{"Source": "s", "Attempts": 5, "FirstSeen": "0000-01-01T00:00:00Z", "LastSeen": "0000-01-01T00:01:00Z", "Users": ["root"], "Severity": "normal"}]
+    assert json.loads("".join(render.json_array(a))) == [{"Source": "s", "Attempts": 5, "FirstSeen": "0000-01-01T00:00:00Z", "LastSeen": "0000-01-01T00:01:00Z", "Users": ["root"], "Severity": "normal"}]
+
+
+def test_a_json_array_is_written_element_by_element(spark):
+    rows = alerts(spark, [(f"s<{i}>", 5 + i, i, 60 + i, ["a&b"], "normal") for i in range(40)]).repartition(5)
+    pieces = list(render.json_array(rows))
+    text = "".join(pieces)
+    assert len(pieces) == 41 and not set("<>&") & set(text) and [x["Attempts"] for x in json.loads(text)] == list(range(5, 45))
+    assert text == json.dumps(json.loads(text), indent=2).replace("<", r"\u003c").replace(">", r"\u003e").replace("&", r"\u0026")
 
 
 def test_rate_ties(spark):

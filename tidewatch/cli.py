@@ -105,13 +105,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
         events, alerts = scan_lines(lines, burst)
         alerts = alerts.cache()
         if a.json:
-            print(render.json_array(alerts))
+            sys.stdout.writelines(render.json_array(alerts))
+            print()
         elif a.summary:
             print(render.summary(alerts, _hosts(a)), end="")
         elif a.stats:
             print(render.stats(alerts, colour), end="")
         else:
-            print(render.table(alerts, colour), end="")
+            sys.stdout.writelines(render.table(alerts, colour))
         if a.cti:
             _notes(spark, scan_triggers(events, alerts, trigger), a)
         alerts.unpersist()

@@ -1,10 +1,11 @@
-"""Reports as text. Spark aggregates; only the rows that are printed come here."""
+"""Reports as text. Spark aggregates; only the rows that are printed come here, and of long reports one partition at a time."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,17 @@ RESET = "\x1b[0m"
 USERS_SHOWN, DETAILED, BAR = 8, 5, 40
 
 
-def rows_of(alerts: DataFrame) -> list:
-    return alerts.select("*", *report.shown(), *report.listed(USERS_SHOWN)).collect()
+def rows_of(alerts: DataFrame) -> Iterator:
+    """Alerts with what lines need beside their columns, partition by partition: no more than one is held here."""
+    return alerts.select("*", *report.shown(), *report.listed(USERS_SHOWN)).toLocalIterator()
 
 
 def rate(a) -> str:
-    return f"{a.attempts / (max(a.last_us - a.first_us, 1_000_000) / 60_000_000):.1f}/min"
+    return rate_text(a.attempts, a.last_us - a.first_us)
+
+
+def rate_text(attempts: int, span: int) -> str:
+    return f"{attempts / (max(span, 1_000_000) / 60_000_000):.1f}/min"
 
 
 def coloured(text: str, severity: str, colour: bool) -> str:
@@ -36,15 +42,34 @@ def line(a, colour: bool = False) -> str:
     return coloured(f"[ALERT] {a.last_text}  source={a.source}  attempts={a.attempts}  rate={rate(a)}  users={a.users_list or '-'}", a.severity, colour)
 
 
-def table(alerts: DataFrame, colour: bool = False) -> str:
-    """All alerts, worst first; the last column is not padded."""
-    rows = rows_of(alerts.orderBy(*report.display_order()))
-    if not rows:
-        return NOTHING
-    cells = [HEADERS] + [(a.source, str(a.attempts), rate(a), a.first_text, a.last_text, a.users_text) for a in rows]
-    widths = [max(len(c[i].encode()) for c in cells) + 2 for i in range(len(HEADERS) - 1)]
-    text = ["".join(x.ljust(w) for x, w in zip(c, widths)) + c[-1] for c in cells]
-    return "\n".join([text[0], *(coloured(t, a.severity, colour) for t, a in zip(text[1:], rows))]) + "\n"
+def cells(alerts: DataFrame) -> DataFrame:
+    """Alerts with the six texts of their table row as the array `cells`."""
+    def rates(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([rate_text(n, z - a) for n, a, z in zip(*(b.column(c).to_pylist() for c in ("attempts", "first_us", "last_us")))], pa.string())], names=[*b.schema.names, "rate"])
+
+    texts = alerts.select("*", *report.shown(), *report.listed(USERS_SHOWN))
+    fields = ", ".join(f"{n} {t}" for n, t in texts.dtypes)
+    rated = texts.mapInArrow(rates, f"{fields}, rate string")
+    return rated.withColumn("cells", F.array("source", F.col("attempts").cast("string"), "rate", "first_text", "last_text", "users_text"))
+
+
+def table(alerts: DataFrame, colour: bool = False) -> Iterator[str]:
+    """All alerts as lines, worst first; the last column is not padded. Widths are an aggregate; rows pass one partition at a time."""
+    rows = cells(alerts).select(*alerts.columns, "cells").persist()
+    try:
+        columns = range(len(HEADERS) - 1)
+        widest = rows.agg(*[F.max(F.octet_length(F.col("cells")[i])).alias(f"w{i}") for i in columns]).first()
+        if widest.w0 is None:
+            yield NOTHING
+            return
+        widths = [max(len(HEADERS[i]), widest[i]) + 2 for i in columns]
+        padded = lambda c: "".join(x.ljust(w) for x, w in zip(c, widths)) + c[-1]
+        yield padded(HEADERS) + "\n"
+        for a in rows.orderBy(*report.display_order()).toLocalIterator():
+            yield coloured(padded(a.cells), a.severity, colour) + "\n"
+    finally:
+        rows.unpersist()
 
 
 def sentence(a, host: str | None = None) -> str:
@@ -90,14 +115,18 @@ def stats(alerts: DataFrame, colour: bool = False) -> str:
     out += ["", f"ACTIVITY (by {head.unit})"]
     out += [f"  {r.label:<14} {r.bar:<{BAR}} {r.alerts}" for r in report.histogram(alerts).orderBy("start_us").collect()]
     out += ["", "TOP OFFENDERS"]
-    top = rows_of(report.top_offenders(alerts))
+    top = list(rows_of(report.top_offenders(alerts)))
     out += [coloured(f"  {i:>2}. {a.source:<15} {a.attempts:>5} attempts  {a.severity:<8} {a.users_text or '-'}", a.severity, colour) for i, a in enumerate(top, 1)]
     if head.alerts > len(top):
         out.append(f"  ...and {head.alerts - len(top)} more sources")
     return "\n".join(out) + "\n"
 
 
-def json_array(alerts: DataFrame) -> str:
-    rows = [json.loads(r.j) for r in alerts.orderBy("first_us", "source").select(report.alert_json().alias("j")).collect()]
-    out = json.dumps(rows, indent=2, ensure_ascii=False)
-    return out.replace("<", r"\u003c").replace(">", r"\u003e").replace("&", r"\u0026")
+def json_array(alerts: DataFrame) -> Iterator[str]:
+    """All alerts as one JSON array, element by element, in order of time."""
+    before = "["
+    for r in alerts.orderBy("first_us", "source").select(report.alert_json().alias("j")).toLocalIterator():
+        one = json.dumps(json.loads(r.j), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+        yield before + "\n  " + one.replace("<", r"\u003c").replace(">", r"\u003e").replace("&", r"\u0026")
+        before = ","
+    yield "[]" if before == "[" else "\n]"
