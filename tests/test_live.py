@@ -1,8 +1,11 @@
 import json
 import os
 import random
+import threading
 import time
 
+import pytest
+
 from tidewatch import cli
 from tidewatch.config import SECOND, BurstConfig, TriggerConfig
 from tidewatch.operators.bursts import first_crossings
@@ -72,6 +75,22 @@ def test_a_file_that_cannot_be_read_is_a_warning(tmp_path, capsys):
     with p.open("a") as f:
         f.write("two\n")
     assert got == ["one"] and drain(r, at)[0] == ["two"]
+    end = r.latestOffset()
+    os.rename(p, tmp_path / "kept")  # unreadable while the batch is under way
+    p.mkdir()
+
+    def back():
+        time.sleep(1.2)
+        p.rmdir()
+        os.rename(tmp_path / "kept", p)
+
+    thread = threading.Thread(target=back)
+    thread.start()
+    with pytest.warns(UserWarning):
+        assert [x.decode() for part in tail.ranges(str(p), 0, end["pos"], inode=end["inode"]) for b in r.read(part) for x in b.column("value").to_pylist()] == ["one", "two"]
+    thread.join()
+    with pytest.raises(IsADirectoryError):
+        list(tail.batches_of(tail.Range(str(tmp_path), 0, 5, 5)))
 
 
 def test_ranges_give_every_line_once(tmp_path, monkeypatch):
@@ -96,15 +115,14 @@ def test_each_line_is_shown_once_though_the_log_grows_during_the_scan(spark, tmp
     p = tmp_path / "auth.log"
     p.write_text("".join(line(i, f"u{i}") for i in range(0, 10, 2)))
     new = "".join(line(i, f"u{i}") for i in range(20, 30, 2)) + "".join(line(i, "v", "203.0.113.7").replace("Dec 31 23:59", "Jan  1 00:05") for i in range(0, 10, 2))
-    real = cli.scan_lines
+    real = cli.dated
 
-    def growing(*a, **k):
-        out = real(*a, **k)
+    def growing(lines):
         with p.open("a") as f:
             f.write(new)
-        return out
+        return real(lines)
 
-    monkeypatch.setattr(cli, "scan_lines", growing)
+    monkeypatch.setattr(cli, "dated", growing)
     q = cli.main(["-file", str(p), "-follow", "-json", "-checkpoint", str(tmp_path / "cp")], spark, wait=False)
     settled(q, 10)
     q.stop()

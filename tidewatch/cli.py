@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from . import render
 from .config import SECOND, BurstConfig, TriggerConfig
 from .operators import report
+from .operators.bursts import bursts
 from .operators.intel import enrich, intel_json, intel_line
-from .plans.logs import last_month, scan_lines, scan_triggers
+from .plans.logs import dated, events_from, last_month, scan_triggers
 from .sources import lookups
 from .sources.lines import read_lines
 from .sources.tail import follow, read_until, whole_until
@@ -101,9 +102,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
     # the scan ends where following begins, so that every line is read once, whatever is written meanwhile
     begin = whole_until(a.file) if a.follow else 0
     lines = read_until(spark, a.file, begin, strict=True) if a.follow else read_lines(spark, a.file, strict=True)
+    rows = dated(lines)
     if not (a.follow and a.quiet_startup):
-        events, alerts = scan_lines(lines, burst)
-        alerts = alerts.cache()
+        events = events_from(rows)
+        alerts = bursts(events, burst).cache()
         if a.json:
             sys.stdout.writelines(render.json_array(alerts))
             print()
@@ -140,7 +142,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, wait:
         sinks.append((trigger_, Shown(spark, lambda found: _notes(spark, found.select("source", "us", "reason"), a), marks("noted"))))
     if a.out:
         sinks += [(alert, Written(f"{a.out}/alerts")), (trigger_, Written(f"{a.out}/triggers"))]
-    found = detect(live_events(follow(spark, a.file, str(begin)), last_month(lines)), burst, trigger)
+    found = detect(live_events(follow(spark, a.file, str(begin)), last_month(rows)), burst, trigger)
     # state that ages lets batches follow each other without end: one a second is enough
     writer = found.writeStream.outputMode("append").trigger(processingTime="1 second").foreachBatch(to_each(*sinks))
     spark.streams.addListener(watch := Watch())

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import sys
+import time
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,7 @@ CHECKED = 4096  # bytes before the position that must still be there
 SPLIT = 64 << 20  # bytes of a range
 MOST = 1 << 30  # bytes of one micro-batch, or one line if that is longer
 BLOCK = 1 << 20  # bytes read at once
+PATIENCE = 30.0  # seconds that a followed file may be unreadable while a batch is under way
 SCHEMA = "log_path string, block_start bigint, line_id bigint, value binary"
 
 
@@ -68,9 +70,24 @@ def lines_of(file, r: Range) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         at, rest = at + size, data[size:]
 
 
+def opened(path: str, patience: float):
+    """An open file; what can't be opened for the moment is tried again until `patience` seconds have gone."""
+    until = time.monotonic() + patience
+    while True:
+        try:
+            return open(path, "rb", buffering=0)
+        except FileNotFoundError:
+            raise
+        except OSError as e:
+            if time.monotonic() > until:
+                raise
+            warnings.warn(str(e), stacklevel=2)
+            time.sleep(0.5)
+
+
 def batches_of(r: Range) -> Iterator[pa.RecordBatch]:
     try:
-        with open(r.path, "rb", buffering=0) as f:
+        with opened(r.path, PATIENCE if r.inode else 0) as f:
             if r.inode and os.fstat(f.fileno()).st_ino != r.inode:
                 raise FileNotFoundError(f"{r.path} was replaced before it was read")
             for begins, lines in lines_of(f, r):
