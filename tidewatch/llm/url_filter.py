@@ -91,11 +91,11 @@ def train(spark: SparkSession, labelled: list[tuple[str, int]] | None = None) ->
     labelled = labelled_urls() if labelled is None else labelled
     if not labelled:
         return [0.0] * (SIZE + 1)
-    rows = spark.createDataFrame([(i, u, float(y)) for i, (u, y) in enumerate(labelled)], "i int, url string, y double")
+    rows = spark.createDataFrame([(i, u, float(y)) for i, (u, y) in enumerate(labelled)], "i int, url string, y double").coalesce(1)  # small, whatever the input: nothing to deal out
     own = F.array_distinct(buckets(host_of(F.col("url")), path_of(F.col("url"))))
     rows = rows.select("i", "y", own.alias("own"), F.array_append(own, F.lit(SIZE)).alias("ks")).withColumn("scale", 1 / F.sqrt(F.size("ks")))
     held = rows.agg(F.sort_array(F.collect_list(F.struct("i", "y", "ks", "scale"))).alias("m"))
-    turned = spark.range(SIZE).select(F.col("id").cast("int").alias("k")).join(rows.select(F.explode("own").alias("k"), "i"), "k", "left").groupBy("k").agg(F.sort_array(F.collect_list("i")).alias("at"))
+    turned = spark.range(0, SIZE, 1, 1).select(F.col("id").cast("int").alias("k")).join(rows.select(F.explode("own").alias("k"), "i"), "k", "left").groupBy("k").agg(F.sort_array(F.collect_list("i")).alias("at"))
     turned = turned.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "at"))), lambda r: r["at"]).alias("t"))
     turned = turned.select(F.array_append("t", F.sequence(F.lit(0), F.lit(len(labelled) - 1))).alias("t"))  # the bias is in every row
 
