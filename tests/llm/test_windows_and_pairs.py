@@ -45,7 +45,7 @@ def test_hard_negatives(spark, monkeypatch, block, anchors, dense):
     one = vectors(rng, 400, 6, [1, 0.2, 0.1, 0.1, 0.05, 0], 0.25)  # many ties
     two = vectors(rng, 300, 3, [1, 0.01, 0.01], 0.001)  # one dimension decides, so that thresholds fall early
     odd = [(None, [1.0] * 6, 1), (1, None, 1), (2, [1.0, None], 1), (3, [float("nan")] * 6, 0), (4, [float("inf")], 2), (5, [1.0], None), (6, [], 1), (40, [], 2), (60, [0.5], 0), (0, [1e30, -1e30], 1), (20, [2.0] * 9, 0)]
-    for rows in (two, one + odd + one[:50] + [one[0]] * 3, odd, []):
+    for rows in (two, one + odd + one[:50] + [one[0]] * 3, odd, [(20 * i, [], i % 2) for i in range(9)], []):
         df = spark.createDataFrame([(i, v, l, "x", 1) for i, v, l in rows], SCHEMA).repartition(3)
         got = sorted(map(tuple, hard_negatives.hard_negatives(df, F.col("vec_id") % 20 == 0).collect()))
         want = plain_negatives(rows, lambda i: i % 20 == 0)

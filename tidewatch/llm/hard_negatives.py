@@ -36,7 +36,7 @@ def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     """Vectors as rows; shorter ones end in zeros, and of longer ones than `width` the rest, which meets only zeros, goes."""
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    width = int(sizes.max(initial=0)) if width is None else width
+    width = max(1, int(sizes.max(initial=0))) if width is None else width  # empty vectors as well have a list
     if (sizes == width).all():
         return flat.reshape(len(sizes), width)
     out = np.zeros((len(sizes), width))
