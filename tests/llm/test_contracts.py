@@ -287,6 +287,26 @@ def test_every_rule_statistic_can_make_a_row_odd():
     assert forest.score(odd)[:3].min() > np.quantile(forest.score(plain), 0.99) and forest.score(odd)[3] > np.median(forest.score(plain))
 
 
+def test_every_labelled_row_counts_in_the_rules(spark):
+    """Forest and threshold see all labelled rows, however many: one more text, far out, widens every tree's first split."""
+    text = "concat_ws(' ', transform(sequence(1, 52 + cast(id % 9 as int)), x -> substr(hex(xxhash64(id, x)), 1, 4 + cast(pmod(xxhash64(x, id), 9) as int))))"
+    docs = spark.range(12_000).selectExpr("id doc_id", f"{text} text")
+    labels = docs.selectExpr("doc_id", "1 quality")
+    stats = rules_forest.stored(rules_forest.rule_statistics(docs))
+    forest, most = rules_forest.fitted(stats, labels)
+    rows = stats.selectExpr("*", "pmod(xxhash64(doc_id), 2) = 0 grows", "dense_rank() over (order by xxhash64(doc_id)) place").toPandas()
+    x = (rows[list(rules_forest.STATISTICS[1:])] / rows[["n_words"]].to_numpy()).to_numpy()
+    grows = rows.grows.to_numpy()
+    assert forest.n_rows == grows.sum() > 5_500
+    plain = rules_forest.Forest(x[grows])
+    assert np.array_equal(plain.score(x[:500]), forest.score(x[:500]))
+    above = (rules_forest.steps(forest.score(x[~grows]))[:, None] > np.array([most, most - 1])).mean(0)
+    assert above[0] <= rules_forest.LOST < above[1]
+    late = int(rows[rows.grows].sort_values("place").doc_id.iloc[-1])  # the last in the order of the hash
+    far = rules_forest.fitted(stats.selectExpr("doc_id", "n_words", f"if(doc_id = {late}, 1000000, word_chars) word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), labels)[0]
+    assert all(f[0][1] != n[0][1] for f, n in zip(far.trees, forest.trees))
+
+
 def test_contamination(tables):
     for docs, df, items, bench in tables:
         same(decontam.contamination(df, bench), ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), B.contamination(docs, items))
