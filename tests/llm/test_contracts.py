@@ -402,6 +402,28 @@ def test_markov_on_held_out_samples():
         assert np.mean([model.score(x) > model.margin for x in keys]) > 0.95
 
 
+def test_every_word_of_the_documents_counts(spark):
+    """Over 20,000 words that two rows hold: the models are those of a plain count over all of them, each of equal weight."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("qxzjkvw" if i % 50 == 0 else "etaoinshr", k=14)) for i in range(24_000)]
+    rows = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)] * 2 + ["onlyonerowholdsit"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = secrets.fitted(docs)
+    every = sorted(set(words))
+    held = {r.w for r in spark.createDataFrame([(w,) for w in every], "w string").where("pmod(xxhash64(w), 3) = 2").collect()}
+    weight = secrets.WEIGHT / len(every)
+    counts = np.full((2, 68, 68), 0.5)
+    for texts, times in (([x for k, x in enumerate(secrets.labelled_samples()) if k % 3 != 2], 1.0), ([(w, 0) for w in every if w not in held], weight)):
+        for w, kind in texts:
+            for a, b in zip(w, w[1:]):
+                counts[kind, secrets.ALPHABET.find(a) % 68, secrets.ALPHABET.find(b) % 68] += times
+    p = counts / counts.sum(2, keepdims=True)
+    assert len(every) > 20_000 and np.allclose(model.ratio, np.log(p[1] / p[0]), atol=1e-9)
+    plain = [(model.score(x), 1.0) for x, kind in secrets.labelled_samples()[2::3] if kind == 0] + [(model.score(w), weight) for w in held]
+    above = lambda margin: sum(m for s, m in plain if s > margin + 1e-9) / sum(m for _, m in plain)
+    assert above(model.margin) <= secrets.FALSE and (model.margin == secrets.ODDS or above(model.margin - 1 / secrets.STEP) > secrets.FALSE)
+
+
 def test_added_spans_spare_ordinary_words(spark):
     """Over all documents: the models leave words, compounds and numbers alone, and find what is planted beside them."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
