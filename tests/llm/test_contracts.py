@@ -248,6 +248,20 @@ def test_repeats_over_pieces(spark, monkeypatch):
     assert place(whole) == place(bwt_repeats.segments(base.encode(), 100))
 
 
+def test_repeats_are_judged_by_bytes_not_words(spark, tmp_path):
+    """A passage of over 50 words in several documents stays as long as it has fewer than 400 bytes, and goes from there on."""
+    rng = random.Random(9)
+    docs = []
+    for i, size in enumerate((394, 399, 400, 401)):
+        passage = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(70))[: size - 2] + "é"
+        assert len(passage.encode()) == size and len(passage.split()) > 50
+        docs += [(4 * i + k, f"{'ABC'[k]}{passage}{'XYZ'[k]} " + "".join(rng.choices("ijkl ", k=300))) for k in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op6_repeats(spark, str(tmp_path)).collect()}
+    assert got == B.repeats(docs)
+    assert {i: r[1] for i, r in got.items()} == {4 * i + k: n for i, n in enumerate((0, 0, 400, 401)) for k in range(3)}
+
+
 def test_interleave_refinement_equals_sorting():
     rng = random.Random(5)
     strings = [np.array(rng.choices([1, 2, 3], k=rng.randint(1, 30)), np.int64) for _ in range(40)]
